@@ -482,7 +482,7 @@ FROM (SELECT CAST(range AS BIGINT) AS bin FROM range(80)) b CROSS JOIN lim
 LEFT JOIN (SELECT CAST(least(floor((v - lo) / w), 79) AS BIGINT) AS bin, count(*) AS n FROM v, lim GROUP BY 1) c ON c.bin = b.bin""", "hist_lim")
 def a18(spark, sf):
     t = timed(spark, sf)
-    return rounded(ro.histogram(t, F.log1p(F.greatest(F.col("response_hours"), F.lit(0.0))), 80, density=True))
+    return rounded(ro.histogram(t, ro.log1p_nonnegative(F.col("response_hours")), 80, density=True))
 
 
 _NUM = ["o_orderkey", "o_custkey", "o_totalprice"]

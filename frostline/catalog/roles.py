@@ -109,7 +109,7 @@ def events_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     def amount(kind: str) -> F.Column:
         return F.round(F.coalesce(F.sum(F.when(F.col("event_type") == kind, F.col("value"))), F.lit(0.0)) / 10, 4)
 
-    temp = F.lit(8) * F.sin(F.lit(2 * math.pi) * F.hour("ts") / 24) + (F.avg("value") - 50) / 10
+    temp = F.lit(8) * F.sin(F.lit(2 * math.pi) * (F.hour("ts") + F.lit(0.37)) / 24) + (F.avg("value") - 50) / 10
     return (
         e.groupBy(F.concat(F.lit("Ward "), (F.col("user_id") % 4 + 1).cast("string")).alias("ward"), "ts")
         .agg(

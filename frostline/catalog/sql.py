@@ -81,7 +81,7 @@ LEFT JOIN (SELECT ward, date, count(*) AS y FROM ward_orders WHERE ward IS NOT N
 
 block("events_hourly", """
 SELECT 'Ward ' || CAST(user_id % 4 + 1 AS VARCHAR) AS ward, date_trunc('hour', ts) AS ts,
-  round(8 * sin(2 * pi() * date_part('hour', date_trunc('hour', ts)) / 24) + (avg(value) - 50) / 10, 3) AS temperature_2m,
+  round(8 * sin(2 * pi() * (date_part('hour', date_trunc('hour', ts)) + CAST(0.37 AS DOUBLE)) / 24) + (avg(value) - 50) / 10, 3) AS temperature_2m,
   round(coalesce(sum(value) FILTER (WHERE event_type = 'click'), 0) / 10, 4) AS precipitation,
   round(coalesce(sum(value) FILTER (WHERE event_type = 'view'), 0) / 10, 4) AS snowfall
 FROM events GROUP BY 1, 2

@@ -60,11 +60,11 @@ def _ranked(df: DataFrame, keys: list[str], quantiles: dict[str, tuple[Column, f
     counts = long.groupBy(*group, "v").agg(F.count("*").alias("n"))
 
     # One equi-width grid per wanted quantile, from a fixed-size row of minima and maxima.
-    limits = scalars(df.agg(*[
-        f(_clean(c)).alias(f"{a}{i}")
-        for i, (c, _) in enumerate(quantiles.values()) for a, f in (("lo", F.min), ("hi", F.max))
-    ]))
     k = len(names)
+    limits = scalars(counts.agg(*[
+        f(F.when(F.col("m") == i, F.col("v"))).alias(f"{a}{i}")
+        for i in range(k) for a, f in (("lo", F.min), ("hi", F.max))
+    ]))
     lo = F.element_at(F.array(*[F.col(f"_s.lo{i}") for i in range(k)]), F.col("m") + 1)
     hi = F.element_at(F.array(*[F.col(f"_s.hi{i}") for i in range(k)]), F.col("m") + 1)
     bucketed = (
@@ -102,7 +102,3 @@ def _ranked(df: DataFrame, keys: list[str], quantiles: dict[str, tuple[Column, f
         .agg(*[F.max(F.when(F.col("m") == i, F.col("q"))).alias(n) for i, n in enumerate(names)])
     )
 
-
-def _clean(c: Column) -> Column:
-    d = c.cast("double")
-    return F.when(~F.isnan(d), d)

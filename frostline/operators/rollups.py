@@ -194,6 +194,11 @@ def rare_share(df: DataFrame, key: str, at_most: int = 10) -> DataFrame:
     return c.agg(F.count("*").alias("n_categories"), F.avg((F.col("n") <= at_most).cast("int")).alias("rare_share"))
 
 
+def log1p_nonnegative(c: Column) -> Column:
+    """log(1 + x) with negatives at 0; null stays null (``greatest`` alone would give 0)."""
+    return F.when(c.isNotNull(), F.log1p(F.greatest(c, F.lit(0.0))))
+
+
 def histogram(df: DataFrame, value: Column, bins: int, density: bool = False) -> DataFrame:
     """Equal-width histogram over [min, max]; the last bin is closed, empty bins are 0."""
     v = df.select(value.cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
@@ -228,7 +233,7 @@ def first_seen_code(df: DataFrame, label: str, order: str) -> DataFrame:
 
 def zero_filled_pivot(df: DataFrame, key: str, column: str, values: list[str]) -> DataFrame:
     """Counts of key x column with the column's values spread out; absent pairs are 0."""
-    return known(df, key).groupBy(key).pivot(column, values).agg(F.count("*")).fillna(0)
+    return known(df, key).groupBy(key).pivot(column, values).agg(F.count(F.lit(1))).fillna(0)
 
 
 def week_by_weekday(df: DataFrame, ts: str = "add_ts") -> DataFrame:

@@ -24,11 +24,10 @@ def scan_bytes(df: DataFrame) -> int | None:
 
     Leaves are summed because the estimate of a join is the product of its sides.
     """
-    try:
-        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        return sum(int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size()))
-    except Exception:  # no JVM handle: size unknown, callers take the distributed form
+    if not hasattr(df, "_jdf"):  # a remote session has no plan handle
         return None
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
 
 
 def is_small(df: DataFrame, limit: int = SMALL_SCAN_BYTES) -> bool:
@@ -58,3 +57,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared checkpoint folder."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once below the shared folder and read it back.
+
+    For tables that several later plans read: cuts the lineage, keeps column pruning, and
+    the rows survive the loss of executors.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
