@@ -3,4 +3,4 @@
 
 def load() -> None:
     """Import every module that registers queries."""
-    from frostline.catalog import requests, series  # noqa: F401
+    from frostline.catalog import requests, series, stats  # noqa: F401
