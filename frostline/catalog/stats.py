@@ -45,11 +45,11 @@ def naive(spark, sf):
     date = F.col("date")
     split = (F.when(date < F.lit("2001-04-12").cast("date"), "train")
              .when(date < F.lit("2001-06-07").cast("date"), "valid").otherwise("test"))
-    models = F.explode(F.array(*[
-        F.struct(F.lit(m).alias("model"), ts.trailing_mean(F.col("y"), w, k).alias("p")) for m, k in MODELS.items()]))
-    return (d.select("ward", "date", F.col("y").cast("double").alias("y"), split.alias("split"),
-                     ts.trailing_mean(F.col("y"), w, 28).alias("full"), models.alias("x"))
-            .where(F.col("full").isNotNull()).select("ward", "date", "y", "split", "x.*"))
+    means = d.select("ward", "date", F.col("y").cast("double").alias("y"), split.alias("split"),
+                     *[ts.trailing_mean(F.col("y"), w, k).alias(m) for m, k in MODELS.items()])
+    models = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("p")) for m in MODELS]))
+    return (means.where(F.col("naive28").isNotNull())
+            .select("ward", "date", "y", "split", models.alias("x")).select("ward", "date", "y", "split", "x.*"))
 
 
 def predictions(spark, sf):
@@ -95,9 +95,10 @@ SELECT model, count(DISTINCT fold) AS folds, round(avg(mae), 6) AS mae_mean, rou
 def a25(spark, sf):
     p = panel(spark, sf)
     w = ts.by_area("ward", "week")
-    models = F.explode(F.array(*[
-        F.struct(F.lit(f"roll{k}").alias("model"), ts.trailing_mean(F.col("y"), w, k).alias("y_pred")) for k in (4, 8)]))
-    pred = p.select("week", F.col("y").alias("y_true"), models.alias("x")).select("week", "y_true", "x.*")
+    means = p.select("week", F.col("y").alias("y_true"),
+                     *[ts.trailing_mean(F.col("y"), w, k).alias(f"roll{k}") for k in (4, 8)])
+    models = F.explode(F.array(*[F.struct(F.lit(f"roll{k}").alias("model"), F.col(f"roll{k}").alias("y_pred")) for k in (4, 8)]))
+    pred = means.select("week", "y_true", models.alias("x")).select("week", "y_true", "x.*")
     valid = pn.expanding_folds(p).where(F.col("role") == "valid")
     by_fold = mt.metrics(pn.with_folds(pred, valid), ["model", "fold"])
     return rounded(mt.cv_summary(by_fold))

@@ -21,10 +21,14 @@ INTERCEPT = "(intercept)"
 MAX_GROUPS = 20_000  # group solutions live on the driver
 
 
-def summed(df: DataFrame, columns: list[str], group: Column, fn: Callable[[str, np.ndarray], np.ndarray]
+def _key(group: str | Column) -> Column:
+    return (F.col(group) if isinstance(group, str) else group).cast("string")
+
+
+def summed(df: DataFrame, columns: list[str], group: str | Column, fn: Callable[[str, np.ndarray], np.ndarray]
            ) -> dict[str, np.ndarray]:
     """Sum over all rows of each group of the flat vector ``fn(group, values)``."""
-    narrow = df.select(group.cast("string").alias("g"), *[F.col(c).cast("double").alias(c) for c in columns])
+    narrow = df.select(_key(group).alias("g"), *[F.col(c).cast("double").alias(c) for c in columns])
 
     def part(batches):
         acc: dict[str, np.ndarray] = {}
@@ -46,7 +50,7 @@ def summed(df: DataFrame, columns: list[str], group: Column, fn: Callable[[str,
     return {r["g"]: np.array(r["v"]) for r in rows}
 
 
-def gram(df: DataFrame, columns: list[str], group: Column) -> dict[str, np.ndarray]:
+def gram(df: DataFrame, columns: list[str], group: str | Column) -> dict[str, np.ndarray]:
     """Z'Z with Z = [1, columns] per group."""
     def fn(_, v):
         z = np.column_stack([np.ones(len(v)), v])
@@ -56,7 +60,7 @@ def gram(df: DataFrame, columns: list[str], group: Column) -> dict[str, np.ndarr
     return {g: s.reshape(k, k) for g, s in summed(df, columns, group, fn).items()}
 
 
-def vif(df: DataFrame, features: list[str], group: Column) -> dict[str, dict[str, float]]:
+def vif(df: DataFrame, features: list[str], group: str | Column) -> dict[str, dict[str, float]]:
     """Variance inflation without intercept: uncentred R2 of each feature on the others."""
     out = {}
     for g, full in gram(df, features, group).items():
@@ -71,7 +75,7 @@ def vif(df: DataFrame, features: list[str], group: Column) -> dict[str, dict[str
     return out
 
 
-def ridge(df: DataFrame, features: list[str], target: str, group: Column, alpha: float = 1.0
+def ridge(df: DataFrame, features: list[str], target: str, group: str | Column, alpha: float = 1.0
           ) -> dict[str, dict[str, float]]:
     """Ridge with unpenalised intercept: exact solution from the centred cross products."""
     return {g: ridge_from_gram(m, features, alpha)
@@ -110,7 +114,7 @@ def _log_linear_sums(beta: dict[str, np.ndarray], alpha: dict[str, float], k: in
     return fn
 
 
-def fit_log_linear(df: DataFrame, features: list[str], target: str, group: Column,
+def fit_log_linear(df: DataFrame, features: list[str], target: str, group: str | Column,
                    alpha: float | dict[str, float] = 0.0, start: dict[str, np.ndarray] | None = None,
                    max_iter: int = 50, tol: float = 1e-9) -> dict[str, np.ndarray]:
     """Log-link count regression by iteratively reweighted least squares.
@@ -128,7 +132,7 @@ def fit_log_linear(df: DataFrame, features: list[str], target: str, group: Colum
     last = {g: (np.inf, b) for g, b in beta.items()}
     active = set(beta)
     for _ in range(max_iter):
-        part = df.where(group.cast("string").isin(sorted(active))) if len(active) < len(beta) and len(active) <= 50 else df
+        part = df.where(_key(group).isin(sorted(active))) if len(active) < len(beta) and len(active) <= 50 else df
         sums = summed(part, cols, group, _log_linear_sums(beta, al, k))
         for g in list(active):
             s = sums[g]
@@ -164,7 +168,7 @@ def _dispersion_loglik(beta: dict[str, np.ndarray], grid: dict[str, np.ndarray])
     return fn
 
 
-def fit_negbin(df: DataFrame, features: list[str], target: str, group: Column, rounds: int = 5, points: int = 9
+def fit_negbin(df: DataFrame, features: list[str], target: str, group: str | Column, rounds: int = 5, points: int = 9
                ) -> tuple[dict[str, np.ndarray], dict[str, float]]:
     """Negative binomial with estimated dispersion.
 
@@ -184,7 +188,7 @@ def fit_negbin(df: DataFrame, features: list[str], target: str, group: Column, r
 
 
 def linear_score(features: list[str], coefficients: dict[str, dict[str, float] | np.ndarray], df: DataFrame,
-                 group: Column, link: str = "identity", name: str = "y_pred") -> DataFrame:
+                 group: str | Column, link: str = "identity", name: str = "y_pred") -> DataFrame:
     """Append the prediction: coefficients joined by group, dot product on the JVM side."""
     rows = []
     for g, b in coefficients.items():
@@ -194,5 +198,5 @@ def linear_score(features: list[str], coefficients: dict[str, dict[str, float] |
     dot = reduce(lambda a, i: a + F.col("_b")[i[0] + 1] * F.col(i[1]).cast("double"),
                  enumerate(features), F.col("_b")[0])
     value = F.exp(F.least(dot, F.lit(30.0))) if link == "log" else dot
-    return df.join(table, group.cast("string") == F.col("_g"), "left").withColumn(
+    return df.join(table, _key(group) == F.col("_g"), "left").withColumn(
         name, F.greatest(value, F.lit(0.0))).drop("_g", "_b")
