@@ -80,7 +80,8 @@ def m11(spark, sf):
     return rounded(out, 4)
 
 
-BOOST = {"rounds": 30, "rate": 0.1, "depth": 5, "row_share": 0.8, "column_share": 0.8, "key": ["ward", "week"]}
+# Few rounds: every round is a handful of Spark jobs. The library default is 300.
+BOOST = {"rounds": 12, "rate": 0.2, "depth": 5, "row_share": 0.8, "column_share": 0.8, "key": ["ward", "week"]}
 
 
 @query("m12_poisson_gbt")
@@ -93,7 +94,7 @@ def m12(spark, sf):
 @query("m13_importances")
 def m13(spark, sf):
     t, names = weekly_split(spark, sf)
-    model = boosting.fit_boosted_counts(t.where(F.col("split") == "train"), names, "y", **{**BOOST, "rounds": 10})
+    model = boosting.fit_boosted_counts(t.where(F.col("split") == "train"), names, "y", **{**BOOST, "rounds": 6})
     return rounded(boosting.importance_table(spark, model).orderBy(F.desc("importance"), "feature"), 6)
 
 
@@ -127,7 +128,7 @@ def m17(spark, sf):
     glm = reg.rolling_cv(t, names, "y", folds, {"poisson": {}, "negbin_fixed": {"alpha": 1.0}})
     # Trees are one fit per fold: yearly steps and few rounds here, both are parameters.
     yearly = pn.expanding_folds(t, train_min=104, step=52)
-    gbt = reg.rolling_cv(t, names, "y", yearly, {"boosted": {**BOOST, "rounds": 5}})
+    gbt = reg.rolling_cv(t, names, "y", yearly, {"boosted": {**BOOST, "rounds": 3}})
     return rounded(glm.unionByName(gbt), 4)
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import VectorAssembler, VectorSlicer
 from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,46 +35,58 @@ class BoostedCounts:
         return {k: v / s for k, v in total.items()}
 
     def predict(self, df: DataFrame, name: str = "y_pred", store_every: int = 20) -> DataFrame:
-        out = df.withColumn("_f", F.lit(self.base))
+        out = _vector(df, self.features).withColumn("_f", F.lit(self.base))
         for i, (cols, tree) in enumerate(self.trees, start=1):
-            out = _add_tree(out, cols, tree, self.rate)
+            out = _add_tree(out, self.features, cols, tree, self.rate)
             if i % store_every == 0 and i < len(self.trees):
                 out = materialize(out, "boost-score")
-        return out.withColumn(name, F.exp(F.least(F.col("_f"), F.lit(30.0)))).drop("_f")
+        return out.withColumn(name, F.exp(F.least(F.col("_f"), F.lit(30.0)))).drop("_f", "_all")
 
 
-def _add_tree(df: DataFrame, cols: list[str], tree, rate: float) -> DataFrame:
-    x = VectorAssembler(inputCols=cols, outputCol="_x", handleInvalid="keep").transform(df)
-    return tree.transform(x).withColumn("_f", F.col("_f") + rate * F.col("_step")).drop("_x", "_step")
+def _vector(df: DataFrame, features: list[str]) -> DataFrame:
+    return VectorAssembler(inputCols=features, outputCol="_all", handleInvalid="keep").transform(df)
+
+
+def _chosen(df: DataFrame, features: list[str], cols: list[str]) -> DataFrame:
+    """The tree's own feature columns as ``_x``."""
+    if len(cols) == len(features):
+        return df.withColumn("_x", F.col("_all"))
+    return VectorSlicer(inputCol="_all", outputCol="_x", indices=[features.index(c) for c in cols]).transform(df)
+
+
+def _add_tree(df: DataFrame, features: list[str], cols: list[str], tree, rate: float) -> DataFrame:
+    scored = tree.transform(_chosen(df, features, cols))
+    return scored.withColumn("_f", F.col("_f") + rate * F.col("_step")).drop("_x", "_step")
 
 
 def fit_boosted_counts(df: DataFrame, features: list[str], target: str, rounds: int = 300, rate: float = 0.05,
                        depth: int = 6, row_share: float = 1.0, column_share: float = 1.0,
-                       key: list[str] | None = None, seed: int = 42, store_every: int = 10) -> BoostedCounts:
+                       key: list[str] | None = None, seed: int = 42, store_every: int = 5) -> BoostedCounts:
     """``key`` names the columns that identify a row; row samples are drawn by its hash."""
     rng = np.random.default_rng(seed)
     key = key or [*features, target]
-    state = df.select(*dict.fromkeys([*key, *features, target])).withColumn(target, F.col(target).cast("double"))
-    mean = state.agg(F.avg(target)).first()[0]
+    base = df.withColumns({"_y": F.col(target).cast("double"), "_h": F.xxhash64(*key)})
+    mean = base.agg(F.avg("_y")).first()[0]
     if mean is None:
         raise ValueError("no training rows")
     model = BoostedCounts(list(features), rate, float(np.log(max(mean, 1e-6))))
-    state = materialize(state.withColumn("_f", F.lit(model.base)), "boost-state")
+    state = materialize(_vector(base, features).select("_y", "_h", "_all", F.lit(model.base).alias("_f")), "boost-state")
     n_cols = max(1, round(column_share * len(features)))
     tree = DecisionTreeRegressor(featuresCol="_x", labelCol="_r", weightCol="_w", predictionCol="_step",
                                  maxDepth=depth, seed=seed)
     for r in range(rounds):
-        cols = sorted(rng.choice(features, n_cols, replace=False).tolist(), key=features.index) \
-            if n_cols < len(features) else list(features)
-        mu = F.exp(F.least(F.col("_f"), F.lit(30.0)))
+        cols = list(features)
+        if n_cols < len(features):
+            cols = sorted(rng.choice(features, n_cols, replace=False).tolist(), key=features.index)
         rows = state
         if row_share < 1.0:
-            draw = F.pmod(F.xxhash64(F.lit(seed * 1_000_003 + r), *key), F.lit(1_000_000))
+            draw = F.pmod(F.xxhash64(F.lit(seed), F.lit(r), "_h"), F.lit(1_000_000))
             rows = state.where(draw < int(row_share * 1_000_000))
-        rows = rows.select("*", mu.alias("_w")).withColumn("_r", (F.col(target) - F.col("_w")) / F.col("_w"))
-        fitted = tree.fit(VectorAssembler(inputCols=cols, outputCol="_x").transform(rows))
+        mu = F.exp(F.least(F.col("_f"), F.lit(30.0)))
+        rows = rows.select("_all", mu.alias("_w"), ((F.col("_y") - mu) / mu).alias("_r"))
+        fitted = tree.fit(_chosen(rows, features, cols))
         model.trees.append((cols, fitted))
-        state = _add_tree(state, cols, fitted, rate)
+        state = _add_tree(state, features, cols, fitted, rate)
         if (r + 1) % store_every == 0 and r + 1 < rounds:
             state = materialize(state, "boost-state")
     return model

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from frostline.models import linear
 from frostline.models.boosting import fit_boosted_counts
 from frostline.models.metrics import mae, metrics, poisson_deviance, rmse
+from frostline.runtime import materialize
 
 
 @dataclass
@@ -121,7 +122,7 @@ def rolling_cv(df: DataFrame, features: list[str], target: str, folds: DataFrame
 
     ``models`` maps a registered name to its options.
     """
-    rows = df.join(folds, week)
+    rows = materialize(df.join(folds, week), "folds")  # read by every fitting pass
     train, valid = rows.where(F.col("role") == "train"), rows.where(F.col("role") == "valid")
     spans = rows.groupBy("fold").agg(
         *[f(F.when(F.col("role") == r, F.col(week))).alias(f"{r}_{n}")

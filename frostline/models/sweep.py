@@ -1,9 +1,9 @@
 """Parameter grids and their evaluation as one Spark job.
 
-A candidate's feature matrix only combines columns from a fixed set (targets per horizon,
-rolling sums per width and shift, lags, calendar). The columns are computed once per area;
-candidates are then scored in parallel, grouped by (area, slice of the grid), each task
-holding one area's series – bounded by its calendar – next to its slice of candidates.
+A candidate's feature matrix only combines columns from a small set (targets per horizon,
+rolling sums per width and shift, lags, calendar). Spark groups the work by (area, slice of
+the candidates); a task holds one area's daily series – bounded by its calendar – and its
+slice, derives each distinct column once and scores the candidates in batches.
 """
 
 from __future__ import annotations
@@ -13,12 +13,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from frostline.operators.timeseries import by_area, forward_sum, lagged_sum, lags
 from frostline.schema import CALENDAR_FEATURES, FEATURE_PARAMS, PARAM_GRID, PARAM_RANGES
 
 MIN_TRAIN, MIN_VAL = 10, 5
 FAMILIES = {"precip": ("daily_precip", "d_p", "l_p"), "snow": ("daily_snow", "d_s", "l_s"),
             "ftc": ("daily_ftc", "d_f", "l_f")}
+SERIES = ["pothole_count", "daily_precip", "daily_snow", "daily_ftc", *CALENDAR_FEATURES]
 
 
 def param_grid(areas: DataFrame, grid: dict[str, list[int]] = PARAM_GRID) -> DataFrame:
@@ -39,22 +39,37 @@ def random_candidates(areas: DataFrame, n: int, ranges: dict[str, tuple[int, int
     return trial.select(*areas.columns, *[c.alias(n) for n, c in draws.items()])
 
 
-def derived_columns(master: DataFrame, used: dict[str, list]) -> tuple[DataFrame, dict[str, int]]:
-    """(ward, date, split, values): every distinct derived column as one array per day."""
-    w = by_area()
-    exprs = {f"Y:{d}": forward_sum(F.col("pothole_count"), w, d) for d in used["d"]}
-    for fam, (src, _, _) in FAMILIES.items():
-        exprs |= {f"{fam}:{width}:{shift}": lagged_sum(F.col(src), w, width, shift) for width, shift in used[fam]}
-    exprs |= {f"lag:{k}": c for k, c in zip(
-        range(1, used["k_AR"] + 1), lags("pothole_count", w, list(range(1, used["k_AR"] + 1))).values())}
-    exprs |= {c: F.col(c) for c in CALENDAR_FEATURES}
-    wide = master.select("ward", "date", "split", F.array(*[c.cast("double") for c in exprs.values()]).alias("values"))
-    return wide, {n: i for i, n in enumerate(exprs)}
+def _rolling(x: np.ndarray, first: int, last: int) -> np.ndarray:
+    """Sum over rows t+first .. t+last; NaN unless all of them exist and hold a value."""
+    n, width = len(x), last - first + 1
+    total = np.concatenate([[0.0], np.cumsum(np.where(np.isnan(x), 0.0, x))])
+    known = np.concatenate([[0], np.cumsum(~np.isnan(x))])
+    lo = np.arange(n) + first
+    hi = lo + width
+    inside = (lo >= 0) & (hi <= n)
+    lo, hi = np.where(inside, lo, 0), np.where(inside, hi, 0)
+    return np.where(inside & (known[hi] - known[lo] == width), total[hi] - total[lo], np.nan)
+
+
+def _derived(days: pd.DataFrame, used: pd.DataFrame) -> tuple[np.ndarray, dict[str, int]]:
+    """The distinct feature columns that the candidates ``used`` combine, and their positions."""
+    x = {c: days[c].to_numpy(dtype=float) for c in SERIES}
+    out = {}
+    for d in used["d"].unique():
+        out[f"Y:{d}"] = _rolling(x["pothole_count"], 1, int(d))
+    for fam, (src, width, shift) in FAMILIES.items():
+        for w, s in used[[width, shift]].drop_duplicates().itertuples(index=False):
+            out[f"{fam}:{w}:{s}"] = _rolling(x[src], -int(s + w - 1), -int(s))
+    for k in range(1, int(used["k_AR"].max()) + 1):
+        out[f"lag:{k}"] = _rolling(x["pothole_count"], -k, -k)
+    out |= {c: x[c] for c in CALENDAR_FEATURES}
+    return np.column_stack(list(out.values())), {n: i for i, n in enumerate(out)}
 
 
 def candidate_columns(p: dict, index: dict[str, int]) -> list[int]:
+    """Positions of one candidate's features, its target last."""
     return [
-        index[f"precip:{p['d_p']}:{p['l_p']}"], index[f"snow:{p['d_s']}:{p['l_s']}"], index[f"ftc:{p['d_f']}:{p['l_f']}"],
+        *[index[f"{fam}:{p[w]}:{p[s]}"] for fam, (_, w, s) in FAMILIES.items()],
         *[index[f"lag:{k}"] for k in range(1, p["k_AR"] + 1)], *[index[c] for c in CALENDAR_FEATURES], index[f"Y:{p['d']}"],
     ]
 
@@ -98,24 +113,30 @@ def _score(series: np.ndarray, is_train: np.ndarray, is_val: np.ndarray, cols: n
     return np.where(bad, np.inf, mae), np.where(bad, np.inf, dev)
 
 
-def evaluate_candidates(master: DataFrame, candidates: DataFrame, used: dict[str, list], alpha: float = 1.0,
+def evaluate_candidates(master: DataFrame, candidates: DataFrame, alpha: float = 1.0,
                         slices: int = 16, batch: int = 256) -> DataFrame:
     """Candidates (ward, parameters) with val_mae and val_poisson_dev of a ridge fit.
 
-    ``master`` carries the split column; too few rows score +infinity.
+    ``master`` carries the split column; too few rows score +infinity. An area's days are
+    sent to each slice of its candidates, so work spreads over areas x slices tasks. The
+    partition number is given because the rows are few but each is costly: left to its
+    size, the shuffle would be merged into a handful of tasks.
     """
-    wide, index = derived_columns(master, used)
+    spark = master.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
     left = candidates.withColumn("slice", F.pmod(F.xxhash64(*FEATURE_PARAMS), F.lit(slices)).cast("int"))
-    right = wide.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    right = master.select("ward", "date", "split", *SERIES).withColumn(
+        "slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
 
     def run(cand: pd.DataFrame, days: pd.DataFrame) -> pd.DataFrame:
         out = cand.drop(columns="slice").assign(val_mae=np.inf, val_poisson_dev=np.inf)
         if cand.empty or days.empty:
             return out
         days = days.sort_values("date")
-        series = np.array([[np.nan if x is None else x for x in v] for v in days["values"]], dtype=float)
         train, val = (days["split"] == "train").to_numpy(), (days["split"] == "val").to_numpy()
-        for _, same in out.groupby("k_AR"):
+        # Candidates of one lag depth and horizon have matrices of one shape and few gaps.
+        for _, same in out.groupby(["k_AR", "d"]):
+            series, index = _derived(days, same)
             spec = [candidate_columns(r, index) for r in same[FEATURE_PARAMS].to_dict("records")]
             for i in range(0, len(spec), batch):
                 mae, dev = _score(series, train, val, np.array(spec[i:i + batch]), alpha)
@@ -124,26 +145,13 @@ def evaluate_candidates(master: DataFrame, candidates: DataFrame, used: dict[str
         return out
 
     schema = ", ".join(f"{n} {t}" for n, t in candidates.dtypes) + ", val_mae double, val_poisson_dev double"
+    left, right = (d.repartition(tasks, "ward", "slice") for d in (left, right))
     return left.groupBy("ward", "slice").cogroup(right.groupBy("ward", "slice")).applyInPandas(run, schema)
 
 
-def used_by_grid(grid: dict[str, list[int]]) -> dict[str, list]:
-    return {"d": grid["d"], "k_AR": max(grid["k_AR"]),
-            **{f: [(w, s) for w in grid[dw] for s in grid[ds]] for f, (_, dw, ds) in FAMILIES.items()}}
-
-
-def used_by_candidates(candidates: DataFrame) -> dict[str, list]:
-    """Distinct derived columns a candidate table needs (bounded by the parameter ranges)."""
-    row = candidates.agg(
-        F.collect_set("d").alias("d"), F.max("k_AR").alias("k_AR"),
-        *[F.collect_set(F.struct(dw, ds)).alias(f) for f, (_, dw, ds) in FAMILIES.items()]).first()
-    return {"d": sorted(row["d"]), "k_AR": row["k_AR"],
-            **{f: sorted((x[0], x[1]) for x in row[f]) for f in FAMILIES}}
-
-
 def run_grid(master: DataFrame, grid: dict[str, list[int]] = PARAM_GRID, alpha: float = 1.0) -> DataFrame:
     areas = master.select("ward").distinct()
-    return evaluate_candidates(master, param_grid(areas, grid), used_by_grid(grid), alpha)
+    return evaluate_candidates(master, param_grid(areas, grid), alpha)
 
 
 def ranking() -> list:
@@ -165,4 +173,4 @@ def run_search(master: DataFrame, trials: int = 200, warm: DataFrame | None = No
     if warm is not None:
         cand = warm.select("ward", *FEATURE_PARAMS).unionByName(cand)
     cand = cand.distinct()
-    return evaluate_candidates(master, cand, used_by_candidates(cand), alpha)
+    return evaluate_candidates(master, cand, alpha)
