@@ -143,11 +143,10 @@ def fit_log_linear(df: DataFrame, features: list[str], target: str, group: str |
                     beta[g] = old_beta
                     active.discard(g)
                 continue
-            if abs(old_dev - dev) < tol * (abs(dev) + 0.1):
-                active.discard(g)
-                continue
             last[g] = (dev, beta[g])
             beta[g] = _solve(s[: k * k].reshape(k, k), s[k * k: k * k + k])
+            if abs(old_dev - dev) < tol * (abs(dev) + 0.1):
+                active.discard(g)  # the step just taken is the last
         if not active:
             break
     return beta

@@ -125,8 +125,8 @@ def evaluate_candidates(master: DataFrame, candidates: DataFrame, alpha: float =
     spark = master.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
     left = candidates.withColumn("slice", F.pmod(F.xxhash64(*FEATURE_PARAMS), F.lit(slices)).cast("int"))
-    right = master.select("ward", "date", "split", *SERIES).withColumn(
-        "slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    right = master.select(F.col("ward").alias("area"), "date", "split", *SERIES).withColumn(
+        "part", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
 
     def run(cand: pd.DataFrame, days: pd.DataFrame) -> pd.DataFrame:
         out = cand.drop(columns="slice").assign(val_mae=np.inf, val_poisson_dev=np.inf)
@@ -145,8 +145,8 @@ def evaluate_candidates(master: DataFrame, candidates: DataFrame, alpha: float =
         return out
 
     schema = ", ".join(f"{n} {t}" for n, t in candidates.dtypes) + ", val_mae double, val_poisson_dev double"
-    left, right = (d.repartition(tasks, "ward", "slice") for d in (left, right))
-    return left.groupBy("ward", "slice").cogroup(right.groupBy("ward", "slice")).applyInPandas(run, schema)
+    left, right = left.repartition(tasks, "ward", "slice"), right.repartition(tasks, "area", "part")
+    return left.groupBy("ward", "slice").cogroup(right.groupBy("area", "part")).applyInPandas(run, schema)
 
 
 def run_grid(master: DataFrame, grid: dict[str, list[int]] = PARAM_GRID, alpha: float = 1.0) -> DataFrame:
