@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frostline.operators.timeseries import zero_filled_daily
-from frostline.runtime import use_utc
+from frostline.runtime import spread, use_utc
 
 SERIES_START, SERIES_END = "1995-01-01", "2001-08-01"
 FLAG_WORD = "widget"
@@ -36,9 +36,8 @@ def requests(spark: SparkSession, sf_dir: str, *need: str) -> DataFrame:
     ``need`` names the dimension-backed columns wanted: service, ward, geo, address.
     """
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
-    out = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_linestatus", "l_shipdate"
-    ).join(o, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linestatus", "l_shipdate")
+    out = spread(lines, "l_orderkey").join(o, F.col("l_orderkey") == F.col("o_orderkey"), "left")
     grace = F.make_dt_interval((F.substring("o_orderpriority", 1, 1).cast("int") * 30))
     cols = [
         F.col("l_orderkey").alias("request_id"),

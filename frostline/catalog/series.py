@@ -201,8 +201,7 @@ def cols(names, special=(), digits=6) -> str:
 # --- inputs of the queries -----------------------------------------------------------
 
 def panel(spark, sf):
-    r = requests(spark, sf, "service", "ward")
-    return pn.weekly_panel(r.where(word_ci(F.col("service"), FLAG_WORD)), r)
+    return pn.weekly_panel(requests(spark, sf, "service", "ward"), word_ci(F.col("service"), FLAG_WORD))
 
 
 def weekly(spark, sf):

@@ -66,11 +66,17 @@ def null_text_wards(c: Column) -> Column:
 
 
 def address_parts(addr: Column) -> dict[str, Column]:
-    """House number, street and unit; null where the address does not parse."""
+    """House number, street and unit; null where the address does not parse.
+
+    The pattern runs once per address: matching text is rewritten to its groups, split on a
+    separator that cannot occur in cleaned text.
+    """
+    parts = F.split(F.regexp_replace(addr, ADDRESS_PATTERN, "$1\u0001$2\u0001$3"), "\u0001")
+
     def group(i: int) -> Column:
-        return F.nullif(F.regexp_extract(addr, ADDRESS_PATTERN, i), F.lit(""))
+        return F.nullif(F.when(F.size(parts) == 3, parts[i]), F.lit(""))
 
-    return {"number": group(1), "street": group(2), "unit": group(3)}
+    return {"number": group(0), "street": group(1), "unit": group(2)}
 
 
 # --- predicates -------------------------------------------------------------

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from frostline.functions.clean import null_text_wards, valid_ward
@@ -13,24 +13,24 @@ from frostline.operators.weather import WEEKLY_COLUMNS
 from frostline.runtime import scalars
 
 
-def weekly_panel(flagged: DataFrame, all_requests: DataFrame) -> DataFrame:
-    """(ward, week, y): every known ward of the whole table x every week of the flagged rows.
+def weekly_panel(requests: DataFrame, flag: Column) -> DataFrame:
+    """(ward, week, y): every known ward of the table x every week of the flagged rows.
 
-    The week limits are a one-row aggregate; the grid is an exploded sequence per ward.
+    The requests are reduced once to (ward, week) counts; wards, week limits and the counts
+    all come from that small table. The grid is an exploded sequence per ward.
     """
-    y = (
-        flagged.withColumns({"ward": null_text_wards(F.col("ward")), "week": week_start(F.to_date("add_ts"))})
-        .dropna(subset=["ward", "week"]).groupBy("ward", "week").agg(F.count("*").alias("y"))
+    per_week = (
+        requests.select(null_text_wards(F.col("ward")).alias("ward"), week_start(F.to_date("add_ts")).alias("week"),
+                        flag.alias("flag"))
+        .groupBy("ward", "week").agg(F.count_if("flag").alias("y"))
     )
-    span = scalars(
-        flagged.where(F.col("add_ts").isNotNull())
-        .agg(F.min(week_start(F.to_date("add_ts"))).alias("lo"), F.max(week_start(F.to_date("add_ts"))).alias("hi")))
+    hits = per_week.where((F.col("y") > 0) & F.col("week").isNotNull())
+    span = scalars(hits.agg(F.min("week").alias("lo"), F.max("week").alias("hi")))
     grid = (
-        all_requests.select(null_text_wards(F.col("ward")).alias("ward")).dropna().distinct()
-        .withColumn("_s", span)
+        per_week.select("ward").dropna().distinct().withColumn("_s", span)
         .select("ward", F.explode(F.expr("sequence(_s.lo, _s.hi, interval 7 days)")).alias("week"))
     )
-    return grid.join(y, ["ward", "week"], "left").withColumn("y", F.coalesce("y", F.lit(0)))
+    return grid.join(hits.dropna(), ["ward", "week"], "left").withColumn("y", F.coalesce("y", F.lit(0)))
 
 
 def with_weekly_weather(panel: DataFrame, weekly: DataFrame) -> DataFrame:

@@ -35,6 +35,19 @@ def is_small(df: DataFrame, limit: int = SMALL_SCAN_BYTES) -> bool:
     return size is not None and size <= limit
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash an input of fewer row groups than cores over all cores; larger inputs are untouched.
+
+    A file is read by at most one task per row group (about 128 MB), so an input below
+    ``cores`` x 16 MB would leave most cores idle in every row-wise step that follows.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = scan_bytes(df)
+    if size is None or not (4 << 20) <= size <= cores * (16 << 20):
+        return df
+    return df.repartition(cores, *keys)
+
+
 def scalars(stats: DataFrame) -> Column:
     """The single row of ``stats`` as a struct column (a scalar subquery, not a join)."""
     return stats.select(F.struct("*").alias("s")).scalar()
