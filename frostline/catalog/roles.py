@@ -10,6 +10,7 @@ import math
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from frostline.operators.timeseries import zero_filled_daily
 from frostline.runtime import spread, use_utc
@@ -20,9 +21,16 @@ NO_WARD_NATION = 24
 NO_ADDRESS_NATION = 23
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table; its schema is read from a file footer once per path."""
     use_utc(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def _ward(nation: str) -> F.Column:
@@ -129,7 +137,9 @@ def long_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
         ward_orders(spark, sf_dir).where(F.col("ward").isNotNull())
         .groupBy("ward", "date").agg(F.sum("order_id").alias("k"))
     )
-    h = noise.select("ward", "date", "k", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("h"))
+    # The shuffled table is small but each row becomes 24, so it keeps a task per core.
+    cores = spark.sparkContext.defaultParallelism
+    h = noise.repartition(cores, "ward", "date").select("ward", "date", "k", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("h"))
     two_pi = F.lit(2 * math.pi)
     temp = F.round(
         F.lit(8.0)

@@ -10,20 +10,21 @@ from frostline.functions.dates import fourier, week_start
 from frostline.operators.quantiles import aggregate
 from frostline.operators.timeseries import by_area, lags, trailing_mean
 from frostline.operators.weather import WEEKLY_COLUMNS
-from frostline.runtime import scalars
+from frostline.runtime import materialize, scalars
 
 
 def weekly_panel(requests: DataFrame, flag: Column) -> DataFrame:
     """(ward, week, y): every known ward of the table x every week of the flagged rows.
 
-    The requests are reduced once to (ward, week) counts; wards, week limits and the counts
-    all come from that small table. The grid is an exploded sequence per ward.
+    The requests are reduced once to stored (ward, week) counts; wards, week limits and the
+    counts all come from that small table, so the requests are scanned a single time. The
+    grid is an exploded sequence per ward.
     """
-    per_week = (
+    per_week = materialize(
         requests.select(null_text_wards(F.col("ward")).alias("ward"), week_start(F.to_date("add_ts")).alias("week"),
                         flag.alias("flag"))
-        .groupBy("ward", "week").agg(F.count_if("flag").alias("y"))
-    )
+        .groupBy("ward", "week").agg(F.count_if("flag").alias("y")),
+        "ward-weeks")
     hits = per_week.where((F.col("y") > 0) & F.col("week").isNotNull())
     span = scalars(hits.agg(F.min("week").alias("lo"), F.max("week").alias("hi")))
     grid = (

@@ -34,8 +34,7 @@ def aggregate(
     if distributed is None:
         distributed = not is_small(df)
     if not distributed:
-        exact = {n: F.percentile(c.cast("double"), F.lit(p)) for n, (c, p) in quantiles.items()}
-        return df.groupBy(*keys).agg(*[c.alias(n) for n, c in {**aggs, **exact}.items()])
+        return _builtin(df, keys, aggs, quantiles)
     found = _ranked(df, keys, quantiles)
     if not keys:
         row = scalars(found)
@@ -47,6 +46,22 @@ def aggregate(
     return base.join(renamed, same, "left").select(*keys, *aggs, *quantiles)
 
 
+def _builtin(df: DataFrame, keys: list[str], aggs: dict[str, Column], quantiles: dict[str, tuple[Column, float]]
+             ) -> DataFrame:
+    """One ``percentile`` per distinct expression, however many quantiles of it are wanted."""
+    wanted: dict[str, tuple[Column, list[float]]] = {}
+    for c, p in quantiles.values():
+        ps = wanted.setdefault(str(c), (c, []))[1]
+        if p not in ps:
+            ps.append(p)
+    slots = {e: f"_p{i}" for i, e in enumerate(wanted)}
+    arrays = [F.percentile(c.cast("double"), F.array(*[F.lit(float(p)) for p in ps])).alias(slots[e])
+              for e, (c, ps) in wanted.items()]
+    out = df.groupBy(*keys).agg(*[c.alias(n) for n, c in aggs.items()], *arrays)
+    return out.select(*keys, *aggs, *[
+        F.col(slots[str(c)])[wanted[str(c)][1].index(p)].alias(n) for n, (c, p) in quantiles.items()])
+
+
 def _ranked(df: DataFrame, keys: list[str], quantiles: dict[str, tuple[Column, float]]) -> DataFrame:
     names = list(quantiles)
     long = (
