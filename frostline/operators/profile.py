@@ -30,7 +30,7 @@ def profile(df: DataFrame) -> DataFrame:
         f"q{p}_{c}": (F.col(c), p / 100) for c in numeric for p in (25, 50, 75)}) if numeric else None
     base = one_pass.withColumns({
         **({"_q": scalars(quart)} if quart is not None else {}),
-        **{f"distinct_{c}": df.agg(F.count_distinct(c).alias("d")).scalar() for c in text},
+        **({"_d": scalars(df.agg(*[F.count_distinct(c).alias(f"distinct_{c}") for c in text]))} if text else {}),
     })
 
     def cell(f: T.StructField):
@@ -42,7 +42,7 @@ def profile(df: DataFrame) -> DataFrame:
         return F.struct(
             F.lit(c).alias("column"), F.lit(f.dataType.simpleString()).alias("dtype"), F.col("rows"),
             (F.col("rows") - F.col(f"count_{c}")).alias("nulls"),
-            (F.col(f"distinct_{c}") if c in text else F.lit(None).cast("bigint")).alias("distinct"),
+            (F.col(f"_d.distinct_{c}") if c in text else F.lit(None).cast("bigint")).alias("distinct"),
             stat("mean").alias("mean"), stat("std").alias("std"), stat("min").alias("min"),
             stat("q25", "_q.").alias("q25"), stat("q50", "_q.").alias("q50"), stat("q75", "_q.").alias("q75"),
             stat("max").alias("max"))

@@ -46,14 +46,20 @@ def aggregate(
     return base.join(renamed, same, "left").select(*keys, *aggs, *quantiles)
 
 
-def _builtin(df: DataFrame, keys: list[str], aggs: dict[str, Column], quantiles: dict[str, tuple[Column, float]]
-             ) -> DataFrame:
-    """One ``percentile`` per distinct expression, however many quantiles of it are wanted."""
-    wanted: dict[str, tuple[Column, list[float]]] = {}
+def _by_expression(quantiles: dict[str, tuple[Column, float]]) -> dict[str, tuple[Column, list[float]]]:
+    """The distinct expressions, each with all the quantiles wanted of it."""
+    out: dict[str, tuple[Column, list[float]]] = {}
     for c, p in quantiles.values():
-        ps = wanted.setdefault(str(c), (c, []))[1]
+        ps = out.setdefault(str(c), (c, []))[1]
         if p not in ps:
             ps.append(p)
+    return out
+
+
+def _builtin(df: DataFrame, keys: list[str], aggs: dict[str, Column], quantiles: dict[str, tuple[Column, float]]
+             ) -> DataFrame:
+    """One ``percentile`` per distinct expression, however many quantiles of it are wanted."""
+    wanted = _by_expression(quantiles)
     slots = {e: f"_p{i}" for i, e in enumerate(wanted)}
     arrays = [F.percentile(c.cast("double"), F.array(*[F.lit(float(p)) for p in ps])).alias(slots[e])
               for e, (c, ps) in wanted.items()]
@@ -63,19 +69,19 @@ def _builtin(df: DataFrame, keys: list[str], aggs: dict[str, Column], quantiles:
 
 
 def _ranked(df: DataFrame, keys: list[str], quantiles: dict[str, tuple[Column, float]]) -> DataFrame:
-    names = list(quantiles)
+    wanted = _by_expression(quantiles)
+    slot = {e: i for i, e in enumerate(wanted)}
     long = (
         df.select(*keys, F.explode(F.array(*[
-            F.struct(F.lit(i).alias("m"), c.cast("double").alias("v"), F.lit(float(p)).alias("p"))
-            for i, (c, p) in enumerate(quantiles.values())
+            F.struct(F.lit(i).alias("m"), c.cast("double").alias("v")) for i, (c, _) in enumerate(wanted.values())
         ])).alias("q"))
         .select(*keys, "q.*").where(F.col("v").isNotNull() & ~F.isnan("v"))
     )
-    group = [*keys, "m", "p"]
+    group = [*keys, "m"]
     counts = long.groupBy(*group, "v").agg(F.count("*").alias("n"))
 
-    # One equi-width grid per wanted quantile, from a fixed-size row of minima and maxima.
-    k = len(names)
+    # One equi-width grid per expression, from a fixed-size row of minima and maxima.
+    k = len(wanted)
     limits = scalars(counts.agg(*[
         f(F.when(F.col("m") == i, F.col("v"))).alias(f"{a}{i}")
         for i in range(k) for a, f in (("lo", F.min), ("hi", F.max))
@@ -90,30 +96,32 @@ def _ranked(df: DataFrame, keys: list[str], quantiles: dict[str, tuple[Column, f
     )
     hist = bucketed.groupBy(*group, "b").agg(F.sum("n").alias("n"))
     per_group = Window.partitionBy(*group)
+    wanted_ps = F.element_at(F.array(*[F.array(*[F.lit(float(p)) for p in ps]) for _, ps in wanted.values()]), F.col("m") + 1)
     ranks = (
         hist.withColumns({
             "upto": F.sum("n").over(per_group.orderBy("b").rowsBetween(Window.unboundedPreceding, 0)),
             "total": F.sum("n").over(per_group),
         })
+        .withColumn("p", F.explode(wanted_ps))
         .withColumn("pos", F.col("p") * (F.col("total") - 1))
         .withColumns({"r0": F.floor("pos"), "r1": F.ceil("pos"), "before": F.col("upto") - F.col("n")})
         .where(
             ((F.col("before") <= F.col("r0")) & (F.col("r0") < F.col("upto")))
             | ((F.col("before") <= F.col("r1")) & (F.col("r1") < F.col("upto"))))
-        .select(*[F.col(c).alias(f"t_{c}") for c in group], F.col("b").alias("t_b"), "before", "pos", "r0", "r1")
+        .select(*[F.col(c).alias(f"t_{c}") for c in group], F.col("b").alias("t_b"), "p", "before", "pos", "r0", "r1")
     )
     same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"t_{c}")) for c in [*group, "b"]])
-    inside = Window.partitionBy(*group, "b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*group, "b", "p").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     return (
         bucketed.join(ranks, same, "inner")
         .withColumn("upto", F.col("before") + F.sum("n").over(inside))
-        .groupBy(*group, "pos", "r0")
+        .groupBy(*group, "p", "pos", "r0")
         .agg(
             F.min(F.when(F.col("upto") > F.col("r0"), F.col("v"))).alias("v0"),
             F.min(F.when(F.col("upto") > F.col("r1"), F.col("v"))).alias("v1"),
         )
         .withColumn("q", F.col("v0") + (F.col("v1") - F.col("v0")) * (F.col("pos") - F.col("r0")))
         .groupBy(*keys)
-        .agg(*[F.max(F.when(F.col("m") == i, F.col("q"))).alias(n) for i, n in enumerate(names)])
+        .agg(*[F.max(F.when((F.col("m") == slot[str(c)]) & (F.col("p") == float(p)), F.col("q"))).alias(n)
+               for n, (c, p) in quantiles.items()])
     )
-

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from frostline.functions.dates import calendar_parts, is_weekend, month_text
@@ -226,9 +226,11 @@ def clip_at_quantile(df: DataFrame, value: str, p: float = 0.99) -> DataFrame:
 
 
 def first_seen_code(df: DataFrame, label: str, order: str) -> DataFrame:
-    """Dense integer code of each label in order of first appearance."""
+    """Dense integer code of each label in order of first appearance (ties by label)."""
     first = known(df, label).groupBy(label).agg(F.min(order).alias("first"))
-    return first.select(label, (F.row_number().over(Window.orderBy("first", label)) - 1).alias("code"))
+    in_order = first.agg(F.sort_array(F.collect_list(F.struct("first", label))).alias("o")).scalar()
+    return first.withColumn("_o", in_order).select(
+        label, (F.array_position(F.col(f"_o.{label}"), F.col(label)) - 1).cast("int").alias("code"))
 
 
 def zero_filled_pivot(df: DataFrame, key: str, column: str, values: list[str]) -> DataFrame:
