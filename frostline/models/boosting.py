@@ -94,3 +94,19 @@ def fit_boosted_counts(df: DataFrame, features: list[str], target: str, rounds:
 
 def importance_table(spark, model: BoostedCounts) -> DataFrame:
     return spark.createDataFrame(list(model.importances().items()), "feature string, importance double")
+
+
+def save_boosted(spark, model: BoostedCounts, path: str) -> None:
+    """Every tree under its round number, next to a one-row table of the settings."""
+    for i, (_, tree) in enumerate(model.trees):
+        tree.write().overwrite().save(f"{path}/tree-{i}")
+    spark.createDataFrame(
+        [(model.features, model.rate, model.base, [cols for cols, _ in model.trees])],
+        "features array<string>, rate double, base double, columns array<array<string>>",
+    ).write.mode("overwrite").parquet(f"{path}/settings")
+
+
+def load_boosted(spark, path: str) -> BoostedCounts:
+    s = spark.read.parquet(f"{path}/settings").first()
+    trees = [(list(cols), DecisionTreeRegressionModel.load(f"{path}/tree-{i}")) for i, cols in enumerate(s["columns"])]
+    return BoostedCounts(list(s["features"]), s["rate"], s["base"], trees)

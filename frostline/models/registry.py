@@ -6,6 +6,7 @@ is one pooled fit per fold.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -15,21 +16,50 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from frostline.models import linear
-from frostline.models.boosting import fit_boosted_counts
+from frostline.models.boosting import BoostedCounts, fit_boosted_counts, load_boosted, save_boosted
 from frostline.models.metrics import mae, metrics, poisson_deviance, rmse
 from frostline.runtime import materialize
 
 
 @dataclass
 class Fitted:
-    """``predict`` appends y_pred (never negative); ``terms`` are the coefficients per group, if any."""
+    """``predict`` appends y_pred (never negative). Linear models carry their terms: per group
+    the intercept followed by the coefficients of ``features``; trees carry the boosted model."""
     name: str
     predict: Callable[[DataFrame], DataFrame]
-    terms: dict | None = None
-
-
-def _linear(name, features, coef, group: Column, link="identity") -> Fitted:
-    return Fitted(name, lambda df: linear.linear_score(features, coef, df, group, link), coef)
+    features: list[str]
+    link: str = "identity"
+    terms: dict[str, list[float]] | None = None
+    trees: BoostedCounts | None = None
+
+
+def _linear(name, features, coef, group: str | Column, link="identity") -> Fitted:
+    terms = {g: [b[linear.INTERCEPT], *[b[f] for f in features]] if isinstance(b, dict) else [float(x) for x in b]
+             for g, b in coef.items()}
+    return Fitted(name, lambda df: linear.linear_score(features, terms, df, group, link), list(features), link, terms)
+
+
+def save(spark, fitted: Fitted, path: str, params: dict | None = None) -> None:
+    """Store a fitted model with its feature names and parameters; one row per group."""
+    if fitted.trees is not None:
+        save_boosted(spark, fitted.trees, f"{path}/trees")
+    rows = [(fitted.name, fitted.link, fitted.features, json.dumps(params or {}, sort_keys=True), g, t)
+            for g, t in (fitted.terms or {"all": []}).items()]
+    spark.createDataFrame(
+        rows, "name string, link string, features array<string>, params string, g string, terms array<double>"
+    ).write.mode("overwrite").parquet(f"{path}/model")
+
+
+def load(spark, path: str, group: str | Column) -> tuple[Fitted, dict]:
+    """The model stored at ``path`` and its parameters."""
+    rows = spark.read.parquet(f"{path}/model").collect()  # one row per group
+    first = rows[0]
+    if first["name"] in POOLED:
+        trees = load_boosted(spark, f"{path}/trees")
+        fitted = Fitted(first["name"], trees.predict, trees.features, trees=trees)
+    else:
+        fitted = _linear(first["name"], first["features"], {r["g"]: r["terms"] for r in rows}, group, first["link"])
+    return fitted, json.loads(first["params"])
 
 
 def fit_mean(df, features, target, group, **_) -> Fitted:
@@ -60,7 +90,7 @@ def fit_negbin(df, features, target, group, **_) -> Fitted:
 
 def fit_boosted(df, features, target, group, **options) -> Fitted:
     model = fit_boosted_counts(df, features, target, **options)
-    return Fitted("boosted", model.predict, None)
+    return Fitted("boosted", model.predict, list(features), trees=model)
 
 
 MODELS = {"mean": fit_mean, "ridge": fit_ridge, "poisson": fit_poisson, "negbin_fixed": fit_negbin_fixed,

@@ -1,8 +1,9 @@
-"""Results on storage: hourly tables with provenance, ranked sweeps, models, metrics."""
+"""Results on storage: hourly tables with provenance, ranked sweeps, metrics.
 
-from __future__ import annotations
+Fitted models are stored by ``frostline.models.registry``.
+"""
 
-import json
+from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,21 +31,6 @@ def load_top(spark: SparkSession, path: str, k: int, *order: Column) -> DataFram
     return spark.read.parquet(path).orderBy(*order).limit(k)
 
 
-def save_model(spark: SparkSession, path: str, name: str, params: dict, coefficients: dict[str, float]) -> None:
-    """A linear model as a table: one row per term, with the model's name and parameters."""
-    rows = [(name, json.dumps(params, sort_keys=True), t, float(v)) for t, v in coefficients.items()]
-    spark.createDataFrame(rows, "model string, params string, term string, value double") \
-        .write.mode("overwrite").partitionBy("model").parquet(path)
-
-
-def load_model(spark: SparkSession, path: str, name: str) -> tuple[dict, dict[str, float]]:
-    """Parameters and coefficients by explicit model name."""
-    rows = spark.read.parquet(path).where(F.col("model") == name).collect()
-    if not rows:
-        raise LookupError(f"no model {name!r} at {path}")
-    return json.loads(rows[0]["params"]), {r["term"]: r["value"] for r in rows}
-
-
 def append_metrics(metrics: DataFrame, path: str, model: str, stage: str) -> None:
     metrics.withColumns({"model": F.lit(model), "stage": F.lit(stage), "saved_at": F.current_timestamp()}) \
         .write.mode("append").parquet(path)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from frostline.models import boosting, clusters, linear, registry as reg, sweep
 from frostline.operators import panel as pn, splits as sp
 from frostline.plans import daily as pd_
+from frostline.runtime import scratch_path
 from frostline.schema import FEATURE_PARAMS
 
 
@@ -191,3 +192,34 @@ def test_clusters(spark):
     df = spark.createDataFrame(rows, "service string, a double, b double")
     c = clusters.cluster_types(df, k=2, columns=["a", "b"]).toPandas()
     assert set(c.columns) == {"service", "a", "b", "cluster_kmeans"} and c.cluster_kmeans.nunique() == 2
+
+
+@pytest.mark.parametrize("name, options", [
+    ("mean", {}), ("ridge", {}), ("poisson", {}), ("boosted", {"rounds": 2, "depth": 2, "column_share": 0.5, "key": ["ward", "i"]})])
+def test_stored_model_predicts_the_same(spark, data, name, options):
+    _, df = data
+    fitted = reg.fit(name, df, ["x1", "x2"], "y", "ward", **options)
+    path = scratch_path(spark, "model")
+    reg.save(spark, fitted, path, {"d": 7})
+    back, params = reg.load(spark, path, "ward")
+    assert params == {"d": 7} and back.name == name
+    a, b = (f.predict(df).orderBy("ward", "i").toPandas().y_pred for f in (fitted, back))
+    assert a.to_numpy() == pytest.approx(b.to_numpy())
+
+
+def test_train_evaluate_leaves_test_rows_out(data):
+    pdf, df = data
+    d = df.withColumn("split", F.when(F.col("i") < 100, "train").when(F.col("i") < 120, "val").otherwise("test"))
+    _, m = reg.train_evaluate(d, [], "y", "mean")
+    got = {(r["ward"], r["split"]): (r["n"], r["mae"]) for r in m.collect()}
+    for g, p in pdf.groupby("ward"):
+        mean = p.y[p.i < 120].mean()
+        assert got[(g, "test")] == (30, pytest.approx(np.abs(p.y[p.i >= 120] - mean).mean()))
+        assert got[(g, "val")][0] == 20
+
+
+def test_numeric_matrix(spark):
+    from frostline.functions.clean import numeric_matrix
+
+    df = spark.createDataFrame([(True, float("inf"), None), (False, float("nan"), 2.0)], "a boolean, b double, c double")
+    assert [tuple(r) for r in numeric_matrix(df, ["a", "b", "c"]).collect()] == [(1.0, 0.0, 0.0), (0.0, 0.0, 2.0)]

@@ -70,15 +70,10 @@ def test_request_csvs_of_two_years(spark, tmp_path):
     assert rows["3"]["ward"] == "Ward 2" and rows["3"]["lat"] is None
 
 
-def test_ranked_results_and_models(spark):
+def test_ranked_results_and_metrics(spark):
     out = scratch_path(spark, "ranked")
     sinks.save_ranked(spark.createDataFrame([(3, 0.5), (1, 0.2), (2, 0.2)], "d int, val_mae double"), out, F.col("val_mae"), F.col("d"))
     assert [r["d"] for r in sinks.load_top(spark, out, 2, F.col("val_mae"), F.col("d")).collect()] == [1, 2]
-    path = scratch_path(spark, "model")
-    sinks.save_model(spark, path, "ridge", {"d": 7}, {"(intercept)": 1.0, "x": -2.5})
-    assert sinks.load_model(spark, path, "ridge") == ({"d": 7}, {"(intercept)": 1.0, "x": -2.5})
-    with pytest.raises(LookupError):
-        sinks.load_model(spark, path, "other")
     log = scratch_path(spark, "metrics")
     for stage in ("train", "test"):
         sinks.append_metrics(spark.createDataFrame([(1.0,)], "mae double"), log, "ridge", stage)
