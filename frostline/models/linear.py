@@ -39,15 +39,15 @@ def summed(df: DataFrame, columns: list[str], group: str | Column, fn: Callable[
         for g, v in acc.items():
             yield pd.DataFrame({"g": g, "pos": np.arange(v.size, dtype=np.int32), "val": v})
 
-    rows = (
-        narrow.mapInPandas(part, "g string, pos int, val double")
-        .groupBy("g", "pos").agg(F.sum("val").alias("val"))
-        .groupBy("g").agg(F.sort_array(F.collect_list(F.struct("pos", "val"))).alias("v"))
-        .select("g", F.col("v.val").alias("v")).limit(MAX_GROUPS + 1).collect()
-    )
-    if len(rows) > MAX_GROUPS:
+    sums = narrow.mapInPandas(part, "g string, pos int, val double").groupBy("g", "pos").agg(F.sum("val").alias("val"))
+    found = sums.toArrow().to_pandas().sort_values(["g", "pos"])
+    return {g: v["val"].to_numpy() for g, v in found.groupby("g", sort=False)}
+
+
+def check_groups(df: DataFrame, group: str | Column) -> None:
+    """Each group's k*k sums and solution pass through the driver, so their number is limited."""
+    if df.select(_key(group)).distinct().limit(MAX_GROUPS + 1).count() > MAX_GROUPS:
         raise ValueError(f"more than {MAX_GROUPS} groups in one fit")
-    return {r["g"]: np.array(r["v"]) for r in rows}
 
 
 def gram(df: DataFrame, columns: list[str], group: str | Column) -> dict[str, np.ndarray]:
@@ -56,6 +56,7 @@ def gram(df: DataFrame, columns: list[str], group: str | Column) -> dict[str, np
         z = np.column_stack([np.ones(len(v)), v])
         return (z.T @ z).ravel()
 
+    check_groups(df, group)
     k = len(columns) + 1
     return {g: s.reshape(k, k) for g, s in summed(df, columns, group, fn).items()}
 
@@ -125,6 +126,7 @@ def fit_log_linear(df: DataFrame, features: list[str], target: str, group: str |
     k = len(features) + 1
     cols = [*features, target]
     if start is None:
+        check_groups(df, group)
         means = summed(df, [target], group, lambda _, v: np.array([v.sum(), len(v)]))
         start = {g: np.r_[np.log(max(s[0] / s[1], 1e-6)), np.zeros(k - 1)] for g, s in means.items()}
     beta = {g: b.copy() for g, b in start.items()}
@@ -137,7 +139,8 @@ def fit_log_linear(df: DataFrame, features: list[str], target: str, group: str |
         for g in list(active):
             s = sums[g]
             dev, (old_dev, old_beta) = s[-2], last[g]
-            if dev > old_dev * (1 + 1e-10) + 1e-10 and np.isfinite(old_dev):
+            done = np.isfinite(old_dev) and abs(old_dev - dev) < tol * (abs(dev) + 0.1)
+            if not done and dev > old_dev:
                 beta[g] = (beta[g] + old_beta) / 2  # overshoot: go half-way back
                 if np.max(np.abs(beta[g] - old_beta)) < tol:
                     beta[g] = old_beta
@@ -145,7 +148,7 @@ def fit_log_linear(df: DataFrame, features: list[str], target: str, group: str |
                 continue
             last[g] = (dev, beta[g])
             beta[g] = _solve(s[: k * k].reshape(k, k), s[k * k: k * k + k])
-            if abs(old_dev - dev) < tol * (abs(dev) + 0.1):
+            if done:
                 active.discard(g)  # the step just taken is the last
         if not active:
             break
