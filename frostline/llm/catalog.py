@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frostline.llm import bpe, packing, pfor, separator_scan
+from frostline.llm import bpe, jaccard, packing, pfor, separator_scan
 from frostline.llm.shared import Run, table
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -43,9 +43,14 @@ def op8_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.drop("ids")
 
 
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"), Run(spark, "op10"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op2_patched_frame_of_reference, op4_forced_boundary_bpe, op5_separator_scan, op8_hierarchical_packing,
+        op10_ngram_jaccard_join,
     )
 }
 ORACLE: dict[str, str] = {}
