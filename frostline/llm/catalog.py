@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frostline.llm import bpe, jaccard, packing, pfor, separator_scan
+from frostline.llm import bpe, jaccard, packing, pfor, separator_scan, spotsigs
 from frostline.llm.shared import Run, table
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -38,6 +38,11 @@ def op5_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.join(order, ["file", "document"]).select("doc_id", "file", "document", "start", "n_tokens")
 
 
+def op6_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return spotsigs.edited_fingerprints(table(spark, sf_dir, "documents"), buckets)
+
+
 def op8_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = packing.pack(table(spark, sf_dir, "documents"), Run(spark, "op8"), public_tokenizers.path(WORD_BPE), END_ID)
     return placed.drop("ids")
@@ -49,7 +54,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op2_patched_frame_of_reference, op4_forced_boundary_bpe, op5_separator_scan, op8_hierarchical_packing,
+        op2_patched_frame_of_reference, op4_forced_boundary_bpe, op5_separator_scan, op6_spot_signatures, op8_hierarchical_packing,
         op10_ngram_jaccard_join,
     )
 }
