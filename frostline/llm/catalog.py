@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frostline.llm import bpe, jaccard, packing, pfor, separator_scan, spotsigs
+from frostline.llm import bpe, jaccard, packing, pfor, posting_lists, separator_scan, spotsigs
 from frostline.llm.shared import Run, table
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -48,6 +48,11 @@ def op8_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.drop("ids")
 
 
+def op9_balanced_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return posting_lists.nearest(vectors, lambda vec_id: F.pmod(vec_id, F.lit(100)) == 0, Run(spark, "op9"))
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"), Run(spark, "op10"))
 
@@ -55,7 +60,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op2_patched_frame_of_reference, op4_forced_boundary_bpe, op5_separator_scan, op6_spot_signatures, op8_hierarchical_packing,
-        op10_ngram_jaccard_join,
+        op9_balanced_posting_lists, op10_ngram_jaccard_join,
     )
 }
 ORACLE: dict[str, str] = {}
