@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frostline.llm import bpe, jaccard, packing, pfor, posting_lists, separator_scan, spotsigs
+from frostline.llm import bpe, jaccard, packing, pfor, posting_lists, separator_scan, spotsigs, style_tree
 from frostline.llm.shared import Run, table
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -43,6 +43,10 @@ def op6_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.edited_fingerprints(table(spark, sf_dir, "documents"), buckets)
 
 
+def op7_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return style_tree.extract(table(spark, sf_dir, "pages"), Run(spark, "op7"))
+
+
 def op8_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = packing.pack(table(spark, sf_dir, "documents"), Run(spark, "op8"), public_tokenizers.path(WORD_BPE), END_ID)
     return placed.drop("ids")
@@ -59,8 +63,17 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op2_patched_frame_of_reference, op4_forced_boundary_bpe, op5_separator_scan, op6_spot_signatures, op8_hierarchical_packing,
-        op9_balanced_posting_lists, op10_ngram_jaccard_join,
+        op2_patched_frame_of_reference, op4_forced_boundary_bpe, op5_separator_scan, op6_spot_signatures, op7_site_style_tree,
+        op8_hierarchical_packing, op9_balanced_posting_lists, op10_ngram_jaccard_join,
     )
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    # the given pages hold their text in one plain article, with these references only
+    "op7_site_style_tree": r"""
+        WITH cut AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's') AS body FROM pages),
+        plain AS (SELECT page_id, url, regexp_replace(regexp_replace(body, '</?(b|i|a|em|strong|span)( [^>]*)?>', '', 'g'), '<[^>]*>', ' ', 'g') AS t FROM cut),
+        decoded AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g') AS t FROM plain),
+        done AS (SELECT page_id, url, trim(regexp_replace(t, '\s+', ' ', 'g')) AS text FROM decoded)
+        SELECT page_id, url, text, length(text) AS n_chars FROM done
+    """,
+}
