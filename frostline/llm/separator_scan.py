@@ -19,9 +19,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from frostline.llm.shared import Run, texts
-from frostline.llm.tokens import encoder
+from frostline.llm.tokens import encoder, forget
 
-BLOCK_IDS = 1 << 18
+BLOCK_IDS = 1 << 15
 BLOCKS = "file string, block long, ids binary"
 
 
@@ -82,6 +82,7 @@ def write_flat(docs: DataFrame, run: Run, tokenizer: str, end_id: int, block_ids
 def scan(blocks: DataFrame, end_id: int) -> DataFrame:
     """(file, block, n_ids, at): positions of the end id within each block."""
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for i in range(batch.num_rows):
                 ids = np.frombuffer(batch.column(2)[i].as_py(), "<u4")

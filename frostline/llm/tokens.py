@@ -113,3 +113,8 @@ def encoder(path: str, literal_specials: bool = False) -> PieceEncoder:
     if key not in _ENCODERS:
         _ENCODERS[key] = PieceEncoder(path, literal_specials)
     return _ENCODERS[key]
+
+
+def forget() -> None:
+    """Give back what this worker's encoders hold, once a later step has no use for it."""
+    _ENCODERS.clear()
