@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frostline.llm import bpe, jaccard, packing, pfor, posting_lists, separator_scan, spotsigs, style_tree
+from frostline.llm import bpe, crf_quality, jaccard, packing, pfor, posting_lists, separator_scan, spotsigs, style_tree, toxicity
+from frostline.llm.labelled import fold
 from frostline.llm.shared import Run, table
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -16,6 +17,16 @@ END_ID = 1               # the contracts' end of document
 END_OF_TEXT = 49407      # the word vocabulary's own end of text, which no ordinary text holds
 
 
+def classified(scored: DataFrame, held_out, threshold: float) -> DataFrame:
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def op1_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 4) == 2
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return classified(toxicity.score_texts(docs, model), held_out, toxicity.THRESHOLD)
+
+
 def op2_patched_frame_of_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     segments = pfor.write_ids(table(spark, sf_dir, "documents"), Run(spark, "op2"), public_tokenizers.path(WORD_BPE), END_ID)
     read = pfor.read_ids(segments).select(
@@ -23,6 +34,12 @@ def op2_patched_frame_of_reference(spark: SparkSession, sf_dir: str) -> DataFram
     return pfor.with_start(read, segments).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op3_line_field_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 5) == 0
+    field = crf_quality.learn(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return classified(crf_quality.score_texts(docs, field), held_out, crf_quality.THRESHOLD)
+
+
 def op4_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
     return coded.select(
@@ -63,7 +80,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op2_patched_frame_of_reference, op4_forced_boundary_bpe, op5_separator_scan, op6_spot_signatures, op7_site_style_tree,
+        op1_toxicity_grammar, op2_patched_frame_of_reference, op3_line_field_quality, op4_forced_boundary_bpe, op5_separator_scan, op6_spot_signatures, op7_site_style_tree,
         op8_hierarchical_packing, op9_balanced_posting_lists, op10_ngram_jaccard_join,
     )
 }
