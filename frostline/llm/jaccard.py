@@ -41,6 +41,7 @@ SEEN_OFTEN = 3             # times within COUNT_OVER shingles of a task
 COUNT_OVER = 2_000_000
 BLOCK = 64                 # members of one side in a block comparison
 ROUNDS = 2                 # rounds around pivots before blocks
+WANTED_BITS = 1 << 25      # hashed ids of the documents whose sets are fetched: 4 MB
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -201,20 +202,48 @@ def common(a: str, b: str) -> Column:
     return F.pandas_udf(count, "long")(a, b)
 
 
+def matchable(members: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """(class): members of a cell that hold another member of a size they could link with.
+
+    Sizes fall in bands one similarity wide, so such a member is in the same or a neighbouring band."""
+    band = F.floor(F.log("n") / F.lit(float(np.log(similar[1] / similar[0])))).cast("int")
+    everyone = members.select(F.col("pivot").alias("cell"), "class", "n").union(
+        members.select("pivot", "pivot", F.col("pivot_n")).distinct()).withColumn("band", band)
+    near = F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))
+    company = everyone.groupBy("cell", "band").agg(F.count("*").alias("here")).select("cell", near.alias("band"), "here")
+    company = company.groupBy("cell", "band").agg(F.sum("here").alias("here")).filter("here > 1")
+    return everyone.join(company, ["cell", "band"]).select("class").distinct()
+
+
 def stored_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(class, set) of the classes in ``wanted`` (class, rep), from the text of one document each."""
+    """(class, set) of the classes in ``wanted`` (class, rep), from the text of one document each.
+
+    The documents are found in a bitmap of hashed ids of fixed size; what it lets through by chance is
+    left out by the join on the class."""
+    bit = F.pmod(F.xxhash64("rep"), F.lit(WANTED_BITS))
+    maps = (
+        wanted.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("b"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("m")).collect()  # WANTED_BITS / 8 bytes in all
+    )
+    # bucket b holds the bits from (b - 1) * 32768 + 1 on; bit 0 is bucket 0's
+    flags = np.zeros(WANTED_BITS // 8 + 2 * 4096, np.uint8)
+    for r in maps:
+        flags[r["b"] * 4096:(r["b"] + 1) * 4096] = np.frombuffer(bytes(r["m"]), np.uint8)
+    held = docs.sparkSession.sparkContext.broadcast(flags)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(words)
+        shingler, flags = Shingler(words), held.value
         for batch in batches:
-            found = [shingler.shingles(t) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([
-                pa.array([class_of(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["class", "set"])
+            where = batch.column(0).to_numpy() * 32768 + batch.column(1).to_numpy()
+            rows = np.nonzero(flags[where >> 3] >> (where & 7).astype(np.uint8) & 1)[0]
+            for a in range(0, len(rows), 200):
+                found = [shingler.shingles(t) for t in batch.column(2).take(pa.array(rows[a:a + 200])).to_pylist()]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([class_of(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["class", "set"])
 
-    rows = texts(docs)
-    chosen = rows.join(wanted.filter("rep IS NOT NULL").select(F.col("rep").alias("doc_id")).distinct(), "doc_id").select("text")
-    nameless = rows.filter("doc_id IS NULL").select("text")  # sets that only rows without an id have
-    found = chosen.union(nameless).mapInArrow(run, "class long, set binary")
-    return found.join(wanted.select("class"), "class").dropDuplicates(["class"])
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(WANTED_BITS))
+    rows = texts(docs).select(F.bitmap_bucket_number(bit).alias("b"), F.bitmap_bit_position(bit).alias("p"), "text")
+    return rows.mapInArrow(run, "class long, set binary").join(wanted.select("class"), "class").dropDuplicates(["class"])
 
 
 def in_blocks(members: DataFrame, similar: tuple[int, int], block: int = BLOCK) -> DataFrame:
@@ -285,9 +314,7 @@ def near_duplicates(docs: DataFrame, run: Run, words: int = WORDS, similar: tupl
 
     members = run.store(cells(prefixes(docs, frequent, words, similar)), "cells")
     classes = run.store(named.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("rep")), "classes")
-    # every member whose size some other member of its cell can match
-    everyone = members.select("class", "n").union(members.select(F.col("pivot").alias("class"), F.col("pivot_n").alias("n"))).distinct()
-    sets = run.store(stored_sets(docs, classes.join(everyone.select("class").distinct(), "class"), words), "sets")
+    sets = run.store(stored_sets(docs, classes.join(matchable(members, similar), "class"), words), "sets")
 
     measured, links, comps = None, None, None
     pairs = members.filter(sizes_agree("n", "pivot_n", similar)).select("pivot", "pivot_n", "class", "n", F.col("pivot").alias("cell"))
