@@ -184,10 +184,10 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn: Column, bound: int = FI
     return field
 
 
-def score(docs: DataFrame, field: LineField | None) -> DataFrame:
-    """(row columns of ``docs``, score): probability that each whole text is good; 0.5 without a field.
+def score(docs: DataFrame, field: LineField | None, name: str = "score") -> DataFrame:
+    """(columns of ``docs``, ``name``): probability that each whole text is good; 0.5 without a field.
 
-    Null and empty texts are one empty line. Columns of ``docs`` other than ``score`` pass through."""
+    Null and empty texts are one empty line. """
     held = docs.sparkSession.sparkContext.broadcast(field)
 
     def rate(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -195,7 +195,7 @@ def score(docs: DataFrame, field: LineField | None) -> DataFrame:
         for batch in batches:
             yield pd.Series([0.5 if known is None else known.score(t or "") for t in batch], dtype="float64")
 
-    return docs.withColumn("score", F.pandas_udf(rate, "double")(F.coalesce(docs["text"], F.lit(""))))
+    return docs.withColumn(name, F.pandas_udf(rate, "double")(F.coalesce(docs["text"], F.lit(""))))
 
 
 def score_texts(docs: DataFrame, field: LineField | None) -> DataFrame:

@@ -204,15 +204,15 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn: Column, bound: int = FI
     return Model(model.words, model.stems, model.weights)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(columns of ``docs``, score): probability that each whole text is toxic. Null texts are empty."""
+def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """(columns of ``docs``, ``name``): probability that each whole text is toxic. Null texts are empty."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def rate(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series([held.value.score(t or "") for t in batch], dtype="float64")
 
-    return docs.withColumn("score", F.pandas_udf(rate, "double")(F.coalesce(docs["text"], F.lit(""))))
+    return docs.withColumn(name, F.pandas_udf(rate, "double")(F.coalesce(docs["text"], F.lit(""))))
 
 
 def score_texts(docs: DataFrame, model: Model) -> DataFrame:
