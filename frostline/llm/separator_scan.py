@@ -104,7 +104,7 @@ def document_counts(blocks: DataFrame, run: Run, end_id: int) -> DataFrame:
     found = run.store(scan(blocks, end_id), "separators")
     in_file = Window.partitionBy("file").orderBy("block")
     before = in_file.rowsBetween(Window.unboundedPreceding, -1)
-    summary = found.select("file", "block", "n_ids", F.size("at").cast("long").alias("n"), F.element_at("at", -1).alias("last"))
+    summary = found.select("file", "block", "n_ids", F.size("at").cast("long").alias("n"), F.try_element_at("at", F.lit(-1)).alias("last"))
     carried = (
         summary.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
         .withColumn("document", F.coalesce(F.sum("n").over(before), F.lit(0)))
@@ -114,7 +114,7 @@ def document_counts(blocks: DataFrame, run: Run, end_id: int) -> DataFrame:
     )
     ends = F.transform("at", lambda x: F.col("base") + x + 1)
     behind = F.col("base") + F.col("n_ids")
-    last_end = F.coalesce(F.element_at("ends", -1), F.col("opened"))
+    last_end = F.coalesce(F.try_element_at("ends", F.lit(-1)), F.col("opened"))
     # the tail of the file's last block, if its document was never closed
     closed = F.when(F.col("final") & (last_end < behind), F.concat("ends", F.array(behind))).otherwise(F.col("ends"))
     return (
