@@ -515,12 +515,11 @@ def a19(spark, sf):
 
 
 @query("a23_pivot", """
-SELECT service, count(*) FILTER (WHERE ward = 'Ward 1') AS "Ward 1", count(*) FILTER (WHERE ward = 'Ward 2') AS "Ward 2",
-  count(*) FILTER (WHERE ward = 'Ward 3') AS "Ward 3", count(*) FILTER (WHERE ward = 'Ward 4') AS "Ward 4"
+SELECT service, """ + ", ".join(f"count(*) FILTER (WHERE ward = 'Ward {i}') AS \"Ward {i}\"" for i in range(1, 9)) + """
 FROM requests WHERE service IS NOT NULL GROUP BY service""", "requests")
 def a23(spark, sf):
     r = requests(spark, sf, "service", "ward").select("service", "ward")
-    return ro.zero_filled_pivot(r, "service", "ward", [f"Ward {i}" for i in range(1, 5)])
+    return ro.zero_filled_pivot(r, "service", "ward", [f"Ward {i}" for i in range(1, 9)])
 
 
 @query("a24_week_dow_matrix", """

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from frostline.operators.timeseries import zero_filled_daily
-from frostline.runtime import spread, use_utc
+from frostline.runtime import use_utc
 
 SERIES_START, SERIES_END = "1995-01-01", "2001-08-01"
 FLAG_WORD = "widget"
@@ -45,7 +45,7 @@ def requests(spark: SparkSession, sf_dir: str, *need: str) -> DataFrame:
     """
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linestatus", "l_shipdate")
-    out = spread(lines, "l_orderkey").join(o, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    out = lines.join(o, F.col("l_orderkey") == F.col("o_orderkey"), "left")
     grace = F.make_dt_interval((F.substring("o_orderpriority", 1, 1).cast("int") * 30))
     cols = [
         F.col("l_orderkey").alias("request_id"),
@@ -137,9 +137,7 @@ def long_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
         ward_orders(spark, sf_dir).where(F.col("ward").isNotNull())
         .groupBy("ward", "date").agg(F.sum("order_id").alias("k"))
     )
-    # The shuffled table is small but each row becomes 24, so it keeps a task per core.
-    cores = spark.sparkContext.defaultParallelism
-    h = noise.repartition(cores, "ward", "date").select("ward", "date", "k", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("h"))
+    h = noise.select("ward", "date", "k", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("h"))
     two_pi = F.lit(2 * math.pi)
     temp = F.round(
         F.lit(8.0)

@@ -290,13 +290,13 @@ def j7(spark, sf):
 
 
 @query("j8_param_grid", f"""
-SELECT ward, d, d_p, l_p, d_s, l_s, d_f, l_f, "k_AR" FROM (SELECT min(ward) AS ward FROM ward_orders) w
+SELECT ward, d, d_p, l_p, d_s, l_s, d_f, l_f, "k_AR" FROM (SELECT DISTINCT ward FROM ward_orders WHERE ward IS NOT NULL) w
 {' '.join(f'CROSS JOIN (SELECT CAST(unnest({v}) AS BIGINT) AS "{k}") t_{k}' for k, v in PARAM_GRID.items())}""", "ward_orders")
 def j8(spark, sf):
     from frostline.models.sweep import param_grid
 
-    first = ward_orders(spark, sf).agg(F.min("ward").alias("ward"))
-    return rounded(param_grid(first, PARAM_GRID))
+    wards = ward_orders(spark, sf).where(F.col("ward").isNotNull()).select("ward").distinct()
+    return rounded(param_grid(wards, PARAM_GRID))
 
 
 @query("j10_expanding_folds", """

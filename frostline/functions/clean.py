@@ -56,7 +56,7 @@ def clean_label(c: Column) -> Column:
 
 
 def clean_address(c: Column) -> Column:
-    return F.coalesce(F.regexp_replace(strip(c), r"\s+", " "), F.lit("unknown"))
+    return F.coalesce(strip(F.regexp_replace(c, r"[\s\x01]+", " ")), F.lit("unknown"))
 
 
 def null_text_wards(c: Column) -> Column:
@@ -68,10 +68,11 @@ def null_text_wards(c: Column) -> Column:
 def address_parts(addr: Column) -> dict[str, Column]:
     """House number, street and unit; null where the address does not parse.
 
-    The pattern runs once per address: matching text is rewritten to its groups, split on a
-    separator that cannot occur in cleaned text.
+    Matching text is rewritten to its groups, split on a control character; text that holds that
+    character itself, which cleaning removes, has it replaced by a space first.
     """
-    parts = F.split(F.regexp_replace(addr, ADDRESS_PATTERN, "$1\u0001$2\u0001$3"), "\u0001")
+    plain = F.translate(addr, "\u0001", " ")
+    parts = F.when(plain.rlike(ADDRESS_PATTERN), F.split(F.regexp_replace(plain, ADDRESS_PATTERN, "$1\u0001$2\u0001$3"), "\u0001"))
 
     def group(i: int) -> Column:
         return F.nullif(F.when(F.size(parts) == 3, parts[i]), F.lit(""))

@@ -191,7 +191,9 @@ def fit_negbin(df: DataFrame, features: list[str], target: str, group: str | Col
 
 def linear_score(features: list[str], coefficients: dict[str, dict[str, float] | np.ndarray], df: DataFrame,
                  group: str | Column, link: str = "identity", name: str = "y_pred") -> DataFrame:
-    """Append the prediction: coefficients joined by group, dot product on the JVM side."""
+    """Append the prediction: coefficients joined by group, dot product on the JVM side.
+
+    An unknown group or a missing feature gives null, not 0."""
     rows = []
     for g, b in coefficients.items():
         vec = [b[INTERCEPT], *[b[f] for f in features]] if isinstance(b, dict) else [float(x) for x in b]
@@ -199,6 +201,6 @@ def linear_score(features: list[str], coefficients: dict[str, dict[str, float] |
     table = df.sparkSession.createDataFrame(rows, "_g string, _b array<double>")
     dot = reduce(lambda a, i: a + F.col("_b")[i[0] + 1] * F.col(i[1]).cast("double"),
                  enumerate(features), F.col("_b")[0])
-    value = F.exp(F.least(dot, F.lit(30.0))) if link == "log" else dot
+    value = F.exp(dot) if link == "log" else dot  # a runaway prediction stays visible
     return df.join(table, _key(group) == F.col("_g"), "left").withColumn(
-        name, F.greatest(value, F.lit(0.0))).drop("_g", "_b")
+        name, F.when(value.isNotNull(), F.greatest(value, F.lit(0.0)))).drop("_g", "_b")

@@ -20,15 +20,18 @@ def rmse(y: Column, p: Column) -> Column:
 
 
 def poisson_deviance(y: Column, p: Column) -> Column:
-    """2 * mean(y log(y/p) - (y - p)) with p at least 1e-8; the log term is 0 for y = 0."""
-    m = F.greatest(p, F.lit(1e-8))
+    """2 * mean(y log(y/p) - (y - p)) with p at least 1e-8; the log term is 0 for y = 0.
+
+    Rows without a prediction do not count."""
+    m = F.when(p.isNotNull(), F.greatest(p, F.lit(1e-8)))
     return 2 * F.avg(F.when(y > 0, y * F.ln(y / m)).otherwise(0.0) - (y - m))
 
 
 def metrics(df: DataFrame, keys: list[str], y: str = "y_true", p: str = "y_pred") -> DataFrame:
+    """Errors per group; ``n`` counts the rows that have both values."""
     a, b = F.col(y).cast("double"), F.col(p).cast("double")
     return df.groupBy(*keys).agg(
-        F.count("*").alias("n"), mae(a, b).alias("mae"), rmse(a, b).alias("rmse"),
+        F.count_if(a.isNotNull() & b.isNotNull()).alias("n"), mae(a, b).alias("mae"), rmse(a, b).alias("rmse"),
         poisson_deviance(a, b).alias("poisson_deviance"))
 
 

@@ -148,9 +148,11 @@ def train_evaluate(df: DataFrame, features: list[str], target: str, model: str,
 
 def rolling_cv(df: DataFrame, features: list[str], target: str, folds: DataFrame, models: dict[str, dict],
                week: str = "week") -> DataFrame:
-    """Expanding-window metrics per (model, fold); a model that fails leaves its error text.
+    """Expanding-window metrics per (model, fold); a fold that fails leaves its error text.
 
-    ``models`` maps a registered name to its options.
+    ``models`` maps a registered name to its options. Fitting and scoring both count: metrics are
+    computed before a fold is called good, and metrics that are not finite are an error too. Grouped
+    models fit all folds in the same passes; only if that fails is each fold tried on its own.
     """
     rows = materialize(df.join(folds, week), "folds")  # read by every fitting pass
     train, valid = rows.where(F.col("role") == "train"), rows.where(F.col("role") == "valid")
@@ -160,25 +162,37 @@ def rolling_cv(df: DataFrame, features: list[str], target: str, folds: DataFrame
         F.count_if(F.col("role") == "train").alias("train_rows"), F.count_if(F.col("role") == "valid").alias("valid_rows"))
     ids = [r[0] for r in folds.select("fold").distinct().orderBy("fold").collect()]  # bounded by the calendar
 
-    def one(name: str, options: dict) -> DataFrame:
+    def scored(name: str, options: dict, fold: int | None) -> dict[int, tuple]:
+        """MAE and RMSE of one fold or, with None, of all folds at once; a few numbers per fold."""
+        mine = (lambda d: d) if fold is None else (lambda d: d.where(F.col("fold") == fold))
+        key = F.lit("all") if name in POOLED else F.col("fold")
+        predicted = fit(name, mine(train), features, target, key, **options).predict(mine(valid))
+        return {r["fold"]: (r["mae"], r["rmse"]) for r in metrics(predicted, ["fold"], target).collect()}
+
+    def tried(name: str, options: dict, fold: int) -> tuple:
         try:
-            if name in POOLED:
-                def single(f: int) -> DataFrame:
-                    fitted = fit(name, train.where(F.col("fold") == f), features, target, F.lit("all"), **options)
-                    return fitted.predict(valid.where(F.col("fold") == f))
-
-                with ThreadPoolExecutor(max_workers=4) as pool:
-                    parts = list(pool.map(single, ids))
-                scored = parts[0]
-                for p in parts[1:]:
-                    scored = scored.unionByName(p)
-            else:
-                scored = fit(name, train, features, target, F.col("fold"), **options).predict(valid)
-            m = metrics(scored, ["fold"], target).select("fold", "mae", "rmse", F.lit("").alias("error"))
-        except Exception as exc:  # recorded, so the other models still get their folds
-            m = df.sparkSession.createDataFrame(
-                [(f, None, None, str(exc)[:500]) for f in ids], "fold int, mae double, rmse double, error string")
-        return m.withColumn("model", F.lit(name))
+            mae_, rmse_ = scored(name, options, fold).get(fold, (None, None))
+        except Exception as exc:  # recorded, so the other folds still get their scores
+            return fold, None, None, str(exc)
+        return checked(fold, mae_, rmse_)
+
+    def checked(fold: int, mae_: float | None, rmse_: float | None) -> tuple:
+        if mae_ is None or rmse_ is None or not np.isfinite([mae_, rmse_]).all():
+            return fold, mae_, rmse_, "no finite predictions or targets in this fold"
+        return fold, mae_, rmse_, ""
+
+    def one(name: str, options: dict) -> DataFrame:
+        done = None
+        if name not in POOLED:
+            try:
+                found = scored(name, options, None)
+                done = [checked(f, *found.get(f, (None, None))) for f in ids]
+            except Exception:  # some fold fails: each is tried on its own and keeps its own error
+                done = None
+        if done is None:
+            with ThreadPoolExecutor(max_workers=4) as pool:
+                done = list(pool.map(lambda f: tried(name, options, f), ids))
+        return df.sparkSession.createDataFrame(done, "fold int, mae double, rmse double, error string").withColumn("model", F.lit(name))
 
     out = None
     for name, options in models.items():

@@ -10,6 +10,13 @@ from frostline.operators.quantiles import aggregate
 from frostline.runtime import scalars
 
 
+def distinct_values(df: DataFrame, columns: list[str]) -> DataFrame:
+    """distinct_<column> in one row: (column, value) pairs are reduced together, then counted."""
+    pairs = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).alias("v")) for i, c in enumerate(columns)])).alias("p"))
+    each = pairs.select("p.c", "p.v").where(F.col("v").isNotNull()).distinct().groupBy("c").agg(F.count("*").alias("n"))
+    return each.agg(*[F.coalesce(F.max(F.when(F.col("c") == i, F.col("n"))), F.lit(0)).alias(f"distinct_{c}") for i, c in enumerate(columns)])
+
+
 def profile(df: DataFrame) -> DataFrame:
     """Rows, nulls, type per column; distinct values of text, describe() of numeric columns.
 
@@ -30,7 +37,7 @@ def profile(df: DataFrame) -> DataFrame:
         f"q{p}_{c}": (F.col(c), p / 100) for c in numeric for p in (25, 50, 75)}) if numeric else None
     base = one_pass.withColumns({
         **({"_q": scalars(quart)} if quart is not None else {}),
-        **({"_d": scalars(df.agg(*[F.count_distinct(c).alias(f"distinct_{c}") for c in text]))} if text else {}),
+        **({"_d": scalars(distinct_values(df, text))} if text else {}),
     })
 
     def cell(f: T.StructField):

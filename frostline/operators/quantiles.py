@@ -1,10 +1,10 @@
 """Exact interpolated quantiles per group.
 
-Spark's ``percentile`` keeps a value->count map per group, which is the quickest form for
-inputs of a checked size. Beyond that size the quantile is located in three bounded steps:
-distinct-value counts, an equi-width histogram per group (at most ``BUCKETS`` rows), and
-an ordered scan of only the bucket(s) that hold the wanted ranks. No step brings one
-group's values into one task.
+The wanted ranks are located in bounded steps: distinct-value counts; a few cuts per group, at
+approximate quantiles a little below and above each wanted one; row counts between the cuts; and an
+ordered scan of only the part between two cuts that holds a wanted rank. Cuts follow the values' ranks, not
+their size, so an outlier moves no cut: a part that is scanned holds about ``2 * MARGIN`` of a group's rows.
+The result is exact wherever the cuts fall. NaN counts as null.
 """
 
 from __future__ import annotations
@@ -14,9 +14,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from frostline.runtime import is_small, scalars
+from frostline.runtime import scalars
 
-BUCKETS = 1 << 16
+MARGIN = 1 / 256        # cuts lie this share of the rows beside a wanted rank
+ACCURACY = 4096         # the approximate quantiles' rank error is a 4096th of the rows
 
 
 def aggregate(
@@ -24,17 +25,12 @@ def aggregate(
     keys: list[str],
     aggs: dict[str, Column],
     quantiles: dict[str, tuple[Column, float]],
-    distributed: bool | None = None,
 ) -> DataFrame:
     """``groupBy(keys)`` with ordinary aggregates plus exact quantiles of expressions.
 
-    ``quantiles`` maps an output name to (expression, p); null values are ignored and a
-    group without values gives null. ``distributed`` forces one of the two forms.
+    ``quantiles`` maps an output name to (expression, p); null and NaN values are ignored and
+    a group without values gives null.
     """
-    if distributed is None:
-        distributed = not is_small(df)
-    if not distributed:
-        return _builtin(df, keys, aggs, quantiles)
     found = _ranked(df, keys, quantiles)
     if not keys:
         row = scalars(found)
@@ -56,18 +52,6 @@ def _by_expression(quantiles: dict[str, tuple[Column, float]]) -> dict[str, tupl
     return out
 
 
-def _builtin(df: DataFrame, keys: list[str], aggs: dict[str, Column], quantiles: dict[str, tuple[Column, float]]
-             ) -> DataFrame:
-    """One ``percentile`` per distinct expression, however many quantiles of it are wanted."""
-    wanted = _by_expression(quantiles)
-    slots = {e: f"_p{i}" for i, e in enumerate(wanted)}
-    arrays = [F.percentile(c.cast("double"), F.array(*[F.lit(float(p)) for p in ps])).alias(slots[e])
-              for e, (c, ps) in wanted.items()]
-    out = df.groupBy(*keys).agg(*[c.alias(n) for n, c in aggs.items()], *arrays)
-    return out.select(*keys, *aggs, *[
-        F.col(slots[str(c)])[wanted[str(c)][1].index(p)].alias(n) for n, (c, p) in quantiles.items()])
-
-
 def _ranked(df: DataFrame, keys: list[str], quantiles: dict[str, tuple[Column, float]]) -> DataFrame:
     wanted = _by_expression(quantiles)
     slot = {e: i for i, e in enumerate(wanted)}
@@ -80,19 +64,14 @@ def _ranked(df: DataFrame, keys: list[str], quantiles: dict[str, tuple[Column, f
     group = [*keys, "m"]
     counts = long.groupBy(*group, "v").agg(F.count("*").alias("n"))
 
-    # One equi-width grid per expression, from a fixed-size row of minima and maxima.
-    k = len(wanted)
-    limits = scalars(counts.agg(*[
-        f(F.when(F.col("m") == i, F.col("v"))).alias(f"{a}{i}")
-        for i in range(k) for a, f in (("lo", F.min), ("hi", F.max))
-    ]))
-    lo = F.element_at(F.array(*[F.col(f"_s.lo{i}") for i in range(k)]), F.col("m") + 1)
-    hi = F.element_at(F.array(*[F.col(f"_s.hi{i}") for i in range(k)]), F.col("m") + 1)
+    ps_all = sorted({min(1.0, max(0.0, p + d)) for _, ps in wanted.values() for p in ps for d in (-MARGIN, MARGIN)})
+    cuts = long.groupBy(*group).agg(F.percentile_approx("v", ps_all, ACCURACY).alias("cuts"))
+    cuts = cuts.withColumnsRenamed({c: f"c_{c}" for c in group})
+    at_group = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"c_{c}")) for c in group])
     bucketed = (
-        counts.withColumn("_s", limits)
-        .withColumn("b", F.when(hi > lo, F.least(
-            F.floor((F.col("v") - lo) / (hi - lo) * BUCKETS), F.lit(BUCKETS - 1))).otherwise(F.lit(0)).cast("int"))
-        .drop("_s")
+        counts.join(cuts, at_group)
+        .withColumn("b", F.size(F.filter("cuts", lambda c: c < F.col("v"))))
+        .select(*group, "v", "n", "b")
     )
     hist = bucketed.groupBy(*group, "b").agg(F.sum("n").alias("n"))
     per_group = Window.partitionBy(*group)

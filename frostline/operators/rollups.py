@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from frostline.functions.dates import calendar_parts, is_weekend, month_text
 from frostline.operators.quantiles import aggregate
 from frostline.operators.topn import top_k, top_n_per_group
-from frostline.runtime import scalars
+from frostline.runtime import ranked, scalars
 
 
 def known(df: DataFrame, *cols: str) -> DataFrame:
@@ -228,9 +228,7 @@ def clip_at_quantile(df: DataFrame, value: str, p: float = 0.99) -> DataFrame:
 def first_seen_code(df: DataFrame, label: str, order: str) -> DataFrame:
     """Dense integer code of each label in order of first appearance (ties by label)."""
     first = known(df, label).groupBy(label).agg(F.min(order).alias("first"))
-    in_order = first.agg(F.sort_array(F.collect_list(F.struct("first", label))).alias("o")).scalar()
-    return first.withColumn("_o", in_order).select(
-        label, (F.array_position(F.col(f"_o.{label}"), F.col(label)) - 1).cast("int").alias("code"))
+    return ranked(first, ["first", label], "code").select(label, F.col("code").cast("int").alias("code"))
 
 
 def zero_filled_pivot(df: DataFrame, key: str, column: str, values: list[str]) -> DataFrame:

@@ -1,53 +1,19 @@
-"""Session helpers: time zone, size checks, checkpoint folder, scalar attachment."""
+"""Session helpers: time zone, checkpoint folder, scalar attachment, ranks."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# Inputs below this many scanned bytes may use aggregates whose state grows with a
-# group's distinct values; larger inputs take the distributed form.
-SMALL_SCAN_BYTES = 256 << 20
-
-
 def use_utc(spark: SparkSession) -> SparkSession:
     """Wall-clock timestamps are read as UTC everywhere."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
 
 
-def scan_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate summed over the leaf relations of ``df``; None if unknown.
-
-    Leaves are summed because the estimate of a join is the product of its sides.
-    """
-    if not hasattr(df, "_jdf"):  # a remote session has no plan handle
-        return None
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
-
-
-def is_small(df: DataFrame, limit: int = SMALL_SCAN_BYTES) -> bool:
-    size = scan_bytes(df)
-    return size is not None and size <= limit
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash an input of fewer row groups than cores over all cores; larger inputs are untouched.
-
-    A file is read by at most one task per row group (about 128 MB), so an input below
-    ``cores`` x 16 MB would leave most cores idle in every row-wise step that follows.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = scan_bytes(df)
-    if size is None or not (4 << 20) <= size <= cores * (16 << 20):
-        return df
-    return df.repartition(cores, *keys)
-
-
 def scalars(stats: DataFrame) -> Column:
     """The single row of ``stats`` as a struct column (a scalar subquery, not a join)."""
     return stats.select(F.struct("*").alias("s")).scalar()
@@ -81,3 +47,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def ranked(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Append the 0-based position of each row of ``df`` in ascending ``order`` without one task seeing all rows.
+
+    Rows are range-partitioned; each range numbers its own rows and adds the rows of the
+    ranges before it. Rows that tie in ``order`` must not exist.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = materialize(df.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n"))  # a row per range
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    here = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    return (
+        dealt.join(sizes.select("_range", before.alias("_before")), "_range")
+        .withColumn(name, here + F.col("_before")).drop("_range", "_before")
+    )

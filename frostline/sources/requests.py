@@ -37,8 +37,11 @@ def coerce(df: DataFrame, ts_format: str | None = None) -> DataFrame:
 
 
 def read_requests(spark: SparkSession, path: str, ts_format: str | None = None) -> DataFrame:
-    """A request CSV: only the header is read up front, all columns are text until coerced."""
-    raw = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
+    """A request CSV: only the header is read up front, all columns are text until coerced.
+
+    Every file of a folder must have the same header: one that differs fails the read, because its
+    columns would land in the wrong fields. Files of other headers are read apart and united by ``union_years``."""
+    raw = spark.read.option("header", True).option("mode", "PERMISSIVE").option("enforceSchema", False).csv(path)
     return coerce(canonical(raw), ts_format)
 
 

@@ -21,15 +21,17 @@ def read_station_daily(spark: SparkSession, path: str) -> DataFrame:
     """Daily station files with a two-row preamble; the station's columns are joined back.
 
     Every line is a row of its own, so files of any number and size are read in parallel:
-    data lines start with a date, the station line with a coordinate.
+    data lines start with a date, the station line with a coordinate. They meet by full path, so
+    folders may hold files of one name.
     """
     lines = spark.read.text(path).select(
-        F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("file"), "value")
+        F.col("_metadata.file_path").alias("path"), "value")
     data = lines.where(F.col("value").rlike(r"^\d{4}-\d{2}-\d{2},")).select(
-        "file", F.from_csv("value", DAILY_FILE_SCHEMA.simpleString()[7:-1].replace(":", " ")).alias("d"))
+        "path", F.from_csv("value", DAILY_FILE_SCHEMA.simpleString()[7:-1].replace(":", " ")).alias("d"))
     station = lines.where(F.col("value").rlike(r"^-?\d+(\.\d+)?,-?\d+")).select(
-        "file", F.from_csv("value", STATION_SCHEMA.simpleString()[7:-1].replace(":", " ")).alias("s"))
-    return data.join(station, "file", "left").select(
+        "path", F.from_csv("value", STATION_SCHEMA.simpleString()[7:-1].replace(":", " ")).alias("s"))
+    rows = data.join(station, "path", "left").withColumn("file", F.regexp_extract("path", r"([^/]+)$", 1))
+    return rows.select(
         "file", F.concat(F.lit("Ward "), F.regexp_extract("file", r"ward(\d+)", 1)).alias("ward"), "d.*", "s.*")
 
 

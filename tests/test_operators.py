@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from frostline.functions import clean, dates
 from frostline.models import metrics as mt
 from frostline.operators import encoding, panel as pn, rollups as ro, splits as sp, stats, timeseries as ts, topn
+from frostline.operators import quantiles
 from frostline.operators.quantiles import aggregate
 from frostline.sources import requests as src
 
@@ -75,7 +76,7 @@ def test_undated_rows_keep_their_bucket(spark):
 
 
 @pytest.mark.parametrize("skewed", [False, True])
-def test_quantiles_agree_in_both_forms(spark, skewed):
+def test_quantiles_equal_numpy(spark, skewed):
     rnd = random.Random(3)
     rows = []
     for i in range(6000):
@@ -86,14 +87,54 @@ def test_quantiles_agree_in_both_forms(spark, skewed):
     df = spark.createDataFrame(rows, "g string, v double, u double")
     wanted = {"q50": (F.col("v"), 0.5), "q90": (F.col("v"), 0.9), "q0": (F.col("v"), 0.0), "q1": (F.col("u"), 1.0)}
     for keys in (["g"], []):
-        a = aggregate(df, keys, {"n": F.count("*")}, wanted, distributed=False)
-        b = aggregate(df, keys, {"n": F.count("*")}, wanted, distributed=True)
-        a, b = ({tuple(r[k] for k in keys): r.asDict() for r in x.collect()} for x in (a, b))
-        assert a.keys() == b.keys()
-        for k in a:
-            for c in ("n", *wanted):
-                same = a[k][c] is None if b[k][c] is None else a[k][c] == pytest.approx(b[k][c], rel=1e-12, abs=1e-12)
-                assert same, (k, c)
+        got = {tuple(r[k] for k in keys): r.asDict() for r in aggregate(df, keys, {"n": F.count("*")}, wanted).collect()}
+        groups = {}
+        for r in rows:
+            groups.setdefault((r[0],) if keys else (), []).append(r)
+        assert got.keys() == groups.keys()
+        for k, members in groups.items():
+            assert got[k]["n"] == len(members)
+            for name, column, p in (("q50", 1, 0.5), ("q90", 1, 0.9), ("q0", 1, 0.0), ("q1", 2, 1.0)):
+                values = [r[column] for r in members if r[column] is not None]
+                want = float(np.quantile(values, p)) if values else None
+                assert got[k][name] == (want if want is None else pytest.approx(want, rel=1e-9, abs=1e-9)), (k, name)
+
+
+def test_quantiles_ignore_nan_and_outliers_move_no_cut(spark):
+    nan = spark.createDataFrame([(1.0,), (2.0,), (float("nan"),), (None,)], "v double")
+    assert aggregate(nan, [], {}, {"q": (F.col("v"), 0.5)}).first()["q"] == 1.5
+    far = spark.range(0, 20_000).selectExpr("IF(id = 7, 1e12, CAST(id AS DOUBLE)) AS v")
+    got = aggregate(far, [], {}, {"q": (F.col("v"), 0.5), "r": (F.col("v"), 0.99)})
+    values = [1e12 if i == 7 else float(i) for i in range(20_000)]
+    assert (got.first()["q"], got.first()["r"]) == (pytest.approx(np.quantile(values, 0.5)), pytest.approx(np.quantile(values, 0.99)))
+    # what the last, sorted step reads is a small part of the distinct values
+    cuts = far.agg(F.percentile_approx("v", [0.5 - quantiles.MARGIN, 0.5 + quantiles.MARGIN], quantiles.ACCURACY).alias("c")).first()["c"]
+    assert far.where(F.col("v").between(*cuts)).count() < 20_000 / 50
+
+
+def test_null_predictions_do_not_count(spark):
+    df = spark.createDataFrame([("a", 3.0, None), ("a", 2.0, 4.0), ("b", 1.0, None)], "m string, y_true double, y_pred double")
+    got = {r["m"]: r for r in mt.metrics(df, ["m"]).collect()}
+    assert (got["a"]["n"], got["a"]["mae"]) == (1, 2.0) and got["a"]["poisson_deviance"] == pytest.approx(2 * (2 * np.log(0.5) + 2))
+    assert got["b"]["n"] == 0 and got["b"]["mae"] is None and got["b"]["poisson_deviance"] is None
+
+
+def test_address_parts_with_control_characters(spark):
+    rows = ["12 Main\u0001St", "x\u0001y\u0001z", "7 Oak Ave Apt 3", None, "\u0001"]
+    df = spark.createDataFrame([(r,) for r in rows], "a string")
+    got = [tuple(r) for r in df.select(*[c.alias(n) for n, c in clean.address_parts(F.col("a")).items()]).collect()]
+    assert got == [("12", "Main St", None), (None, None, None), ("7", "Oak Ave", "Apt 3"), (None, None, None), (None, None, None)]
+    assert df.select(clean.clean_address(F.col("a")).alias("c")).collect()[0]["c"] == "12 Main St"
+
+
+def test_codes_and_ranks_over_ranges(spark):
+    rows = [(f"L{(7 * k) % 41:02d}", k % 5) for k in range(200)]
+    got = {r["l"]: r["code"] for r in ro.first_seen_code(spark.createDataFrame(rows, "l string, t int"), "l", "t").collect()}
+    first = {}
+    for label, t in rows:
+        first[label] = min(t, first.get(label, 99))
+    want = {label: i for i, label in enumerate(sorted(first, key=lambda x: (first[x], x)))}
+    assert got == want
 
 
 def test_rolling_frames_need_all_values(spark):
