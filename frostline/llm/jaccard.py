@@ -202,15 +202,20 @@ def common(a: str, b: str) -> Column:
     return F.pandas_udf(count, "long")(a, b)
 
 
-def matchable(members: DataFrame, similar: tuple[int, int]) -> DataFrame:
-    """(class): members of a cell that hold another member of a size they could link with.
+def size_band(n: str, similar: tuple[int, int]) -> Column:
+    """Bands of sizes one similarity wide: sizes that agree are in the same or in neighbouring bands."""
+    return F.floor(F.log(n) / F.lit(float(np.log(similar[1] / similar[0])))).cast("int")
+
+
+def bands_around(band: str) -> Column:
+    return F.explode(F.array(F.col(band) - 1, F.col(band), F.col(band) + 1)).alias(band)
 
-    Sizes fall in bands one similarity wide, so such a member is in the same or a neighbouring band."""
-    band = F.floor(F.log("n") / F.lit(float(np.log(similar[1] / similar[0])))).cast("int")
+
+def matchable(members: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """(class): members of cells that hold another member of a size they could link with."""
     everyone = members.select(F.col("pivot").alias("cell"), "class", "n").union(
-        members.select("pivot", "pivot", F.col("pivot_n")).distinct()).withColumn("band", band)
-    near = F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))
-    company = everyone.groupBy("cell", "band").agg(F.count("*").alias("here")).select("cell", near.alias("band"), "here")
+        members.select("pivot", "pivot", F.col("pivot_n")).distinct()).withColumn("band", size_band("n", similar))
+    company = everyone.groupBy("cell", "band").agg(F.count("*").alias("here")).select("cell", bands_around("band"), "here")
     company = company.groupBy("cell", "band").agg(F.sum("here").alias("here")).filter("here > 1")
     return everyone.join(company, ["cell", "band"]).select("class").distinct()
 
@@ -334,8 +339,8 @@ def near_duplicates(docs: DataFrame, run: Run, words: int = WORDS, similar: tupl
         state = open_cells(members, comps, similar)
         if k + 1 < rounds:
             state = run.store(state, f"open{k}")
-            # the most central outside member leads the next round
-            lead = state.filter("outside").groupBy("cell").agg(F.max(F.struct("central", "class", "n", "comp")).alias("lead"))
+            # the most central outside member of a large cell leads the next round; small cells go to blocks
+            lead = state.filter("outside").filter(F.col("count") > block).groupBy("cell").agg(F.max(F.struct("central", "class", "n", "comp")).alias("lead"))
             pairs = (
                 state.join(lead, "cell").filter("comp <> lead.comp")
                 .select("cell", F.col("lead.class").alias("pivot"), F.col("lead.n").alias("pivot_n"), "class", "n")
@@ -345,8 +350,7 @@ def near_duplicates(docs: DataFrame, run: Run, words: int = WORDS, similar: tupl
     ratio = F.least("n", "pivot_n") / F.greatest("n", "pivot_n")
     bounded = (
         state.join(near, ["cell", "class"], "left")
-        .withColumn("low", F.when(F.col("class") == F.col("cell"), 0.0).otherwise(F.coalesce("distance", 1 - ratio)))
-        .withColumn("high", F.when(F.col("class") == F.col("cell"), 0.0).otherwise(F.coalesce("distance", F.lit(1.0))))
+        .withColumn("low", F.coalesce("distance", 1 - ratio)).withColumn("high", F.coalesce("distance", F.lit(1.0)))
     )
     rest = in_blocks(bounded.join(sets, "class").drop("distance"), similar, block)
     links = run.store(links.union(rest), "links")
@@ -363,13 +367,16 @@ def near_duplicates(docs: DataFrame, run: Run, words: int = WORDS, similar: tupl
 
 
 def open_cells(members: DataFrame, comps: DataFrame, similar: tuple[int, int]) -> DataFrame:
-    """Members, pivot included, of the cells that still hold two components, with their component."""
-    everyone = members.select(F.col("pivot").alias("cell"), "class", "n", "central", "pivot_n").union(
-        members.select("pivot", "pivot", "pivot_n", F.lit(-1), "pivot_n").distinct())
-    known = everyone.join(comps, F.col("class") == F.col("node"), "left").select(
-        *everyone.columns, F.coalesce("comp", "class").alias("comp"))
-    own = comps.select(F.col("node").alias("cell"), F.col("comp").alias("cell_comp"))
-    known = known.join(own, "cell", "left").withColumn("outside", F.col("comp") != F.coalesce("cell_comp", "cell")).drop("cell_comp")
-    # a cell of its pivot and one other member has been measured already
-    counts = known.groupBy("cell").agg(F.count("*").alias("count"), F.count_if("outside").alias("out"))
-    return known.join(counts.filter("out > 0 AND count > 2"), "cell").drop("out")
+    """Members of a cell that may still link with another: one of another component and of a size that
+    agrees (in the same or a neighbouring band). The pivot itself has been measured against all of them."""
+    known = (
+        members.select(F.col("pivot").alias("cell"), "class", "n", "central", "pivot_n")
+        .join(comps, F.col("class") == F.col("node"), "left").withColumn("comp", F.coalesce("comp", "class")).drop("node")
+        .join(comps.select(F.col("node").alias("cell"), F.col("comp").alias("cell_comp")), "cell", "left")
+        .withColumn("outside", F.col("comp") != F.coalesce("cell_comp", "cell")).drop("cell_comp")
+        .withColumn("band", size_band("n", similar))
+    )
+    company = known.groupBy("cell", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    company = company.select("cell", bands_around("band"), "lo", "hi").groupBy("cell", "band").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    mixed = known.join(company.filter("lo < hi").select("cell", "band"), ["cell", "band"]).drop("band")
+    return mixed.join(mixed.groupBy("cell").agg(F.count("*").alias("count")), "cell")
