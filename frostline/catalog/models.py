@@ -42,9 +42,8 @@ def scores(df, target, label):
 @query("m4_vif")
 def m4(spark, sf):
     d = materialize(daily_model(spark, sf), "daily-model")
-    v = linear.vif(d, pd_.VIF_COLUMNS, WARD)
-    rows = [(g, f, x) for g, fs in v.items() for f, x in fs.items()]
-    return rounded(spark.createDataFrame(rows, "ward string, feature string, vif double").orderBy("ward", F.desc("vif")), 4)
+    v = linear.vif(d, pd_.VIF_COLUMNS, WARD).withColumnRenamed("g", "ward")
+    return rounded(v.orderBy("ward", F.desc("vif")), 4)
 
 
 @query("m9_ridge")

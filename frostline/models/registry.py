@@ -23,19 +23,19 @@ from frostline.runtime import materialize
 
 @dataclass
 class Fitted:
-    """``predict`` appends y_pred (never negative). Linear models carry their terms: per group
-    the intercept followed by the coefficients of ``features``; trees carry the boosted model."""
+    """``predict`` appends y_pred (never negative). Linear models carry their terms, a table (g, terms): per
+    group the intercept followed by the coefficients of ``features``; trees carry the boosted model."""
     name: str
     predict: Callable[[DataFrame], DataFrame]
     features: list[str]
     link: str = "identity"
-    terms: dict[str, list[float]] | None = None
+    terms: DataFrame | None = None
     trees: BoostedCounts | None = None
 
 
-def _linear(name, features, coef, group: str | Column, link="identity") -> Fitted:
-    terms = {g: [b[linear.INTERCEPT], *[b[f] for f in features]] if isinstance(b, dict) else [float(x) for x in b]
-             for g, b in coef.items()}
+def _linear(name, features, terms: DataFrame, group: str | Column, link="identity") -> Fitted:
+    """The terms are solved once and stored: predictions and copies read them."""
+    terms = materialize(terms.select("g", "terms"), "terms")
     return Fitted(name, lambda df: linear.linear_score(features, terms, df, group, link), list(features), link, terms)
 
 
@@ -43,28 +43,28 @@ def save(spark, fitted: Fitted, path: str, params: dict | None = None) -> None:
     """Store a fitted model with its feature names and parameters; one row per group."""
     if fitted.trees is not None:
         save_boosted(spark, fitted.trees, f"{path}/trees")
-    rows = [(fitted.name, fitted.link, fitted.features, json.dumps(params or {}, sort_keys=True), g, t)
-            for g, t in (fitted.terms or {"all": []}).items()]
-    spark.createDataFrame(
-        rows, "name string, link string, features array<string>, params string, g string, terms array<double>"
+    terms = fitted.terms if fitted.terms is not None else spark.createDataFrame([("all", [])], linear.TERMS)
+    terms.select(
+        F.lit(fitted.name).alias("name"), F.lit(fitted.link).alias("link"),
+        F.array(*[F.lit(f) for f in fitted.features]).cast("array<string>").alias("features"),
+        F.lit(json.dumps(params or {}, sort_keys=True)).alias("params"), "g", "terms",
     ).write.mode("overwrite").parquet(f"{path}/model")
 
 
 def load(spark, path: str, group: str | Column) -> tuple[Fitted, dict]:
     """The model stored at ``path`` and its parameters."""
-    rows = spark.read.parquet(f"{path}/model").collect()  # one row per group
-    first = rows[0]
+    stored = spark.read.parquet(f"{path}/model")
+    first = stored.first()
     if first["name"] in POOLED:
         trees = load_boosted(spark, f"{path}/trees")
         fitted = Fitted(first["name"], trees.predict, trees.features, trees=trees)
     else:
-        fitted = _linear(first["name"], first["features"], {r["g"]: r["terms"] for r in rows}, group, first["link"])
+        fitted = _linear(first["name"], first["features"], stored, group, first["link"])
     return fitted, json.loads(first["params"])
 
 
 def fit_mean(df, features, target, group, **_) -> Fitted:
-    means = linear.summed(df, [target], group, lambda g, v: np.array([v.sum(), len(v)]))
-    return _linear("mean", [], {g: np.array([s[0] / s[1]]) for g, s in means.items()}, group)
+    return _linear("mean", [], linear.means(df, target, group), group)
 
 
 def fit_ridge(df, features, target, group, alpha: float = 1.0, **_) -> Fitted:
@@ -81,11 +81,12 @@ def fit_negbin_fixed(df, features, target, group, alpha: float = 1.0, **_) -> Fi
 
 def fit_negbin(df, features, target, group, **_) -> Fitted:
     """Estimated dispersion; a group whose fit is not finite falls back to Poisson."""
-    beta, _alpha = linear.fit_negbin(df, features, target, group)
-    if any(not np.isfinite(b).all() for b in beta.values()):
-        plain = linear.fit_log_linear(df, features, target, group)
-        beta = {g: b if np.isfinite(b).all() else plain[g] for g, b in beta.items()}
-    return _linear("negbin", features, beta, group, "log")
+    found = linear.fit_negbin(df, features, target, group)
+    broken = F.exists("terms", lambda b: F.isnan(b) | (F.abs(b) == float("inf")))
+    if not found.where(broken).isEmpty():
+        plain = linear.fit_log_linear(df, features, target, group).select("g", F.col("terms").alias("plain"))
+        found = found.join(plain, "g").select("g", F.when(broken, F.col("plain")).otherwise(F.col("terms")).alias("terms"))
+    return _linear("negbin", features, found, group, "log")
 
 
 def fit_boosted(df, features, target, group, **options) -> Fitted:
@@ -154,7 +155,7 @@ def rolling_cv(df: DataFrame, features: list[str], target: str, folds: DataFrame
     computed before a fold is called good, and metrics that are not finite are an error too. Grouped
     models fit all folds in the same passes; only if that fails is each fold tried on its own.
     """
-    rows = materialize(df.join(folds, week), "folds")  # read by every fitting pass
+    rows = materialize(df, "rolling").join(folds, week)  # one copy of the rows; a pass joins the folds they serve
     train, valid = rows.where(F.col("role") == "train"), rows.where(F.col("role") == "valid")
     spans = rows.groupBy("fold").agg(
         *[f(F.when(F.col("role") == r, F.col(week))).alias(f"{r}_{n}")

@@ -49,6 +49,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def release(*stored: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote and no later reader needs."""
+    for df in stored:
+        files = df.inputFiles()
+        if files:
+            spark = df.sparkSession
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ranked(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """Append the 0-based position of each row of ``df`` in ascending ``order`` without one task seeing all rows.
 

@@ -33,21 +33,38 @@ def design(p):
 
 def test_ridge(data):
     pdf, df = data
-    got = linear.ridge(df, ["x1", "x2"], "y", "ward", alpha=1.0)
+    table = linear.ridge(df, ["x1", "x2"], "y", "ward", alpha=1.0)
+    got = linear.as_dict(table)
     for g, p in pdf.groupby("ward"):
         x, y = p[["x1", "x2"]].to_numpy(), p.y.to_numpy()
         xc, yc = x - x.mean(0), y - y.mean()
         b = np.linalg.solve(xc.T @ xc + np.eye(2), xc.T @ yc)
-        assert [got[g]["x1"], got[g]["x2"]] == pytest.approx(b)
-        assert got[g][linear.INTERCEPT] == pytest.approx(y.mean() - x.mean(0) @ b)
-    scored = linear.linear_score(["x1", "x2"], got, df, "ward").toPandas()
+        assert list(got[g][1:]) == pytest.approx(b)
+        assert got[g][0] == pytest.approx(y.mean() - x.mean(0) @ b)
+    scored = linear.linear_score(["x1", "x2"], table, df, "ward").toPandas()
     assert (scored.y_pred >= 0).all() and len(scored) == 300
 
 
+def test_unknown_groups_and_missing_features_get_no_prediction(spark):
+    terms = spark.createDataFrame([("a", [1.0, 2.0])], linear.TERMS)
+    df = spark.createDataFrame([("a", 3.0), ("a", None), ("c", 3.0), (None, 1.0), ("a", -9.0)], "ward string, x double")
+    got = [(r["ward"], r["x"], r["y_pred"]) for r in linear.linear_score(["x"], terms, df, "ward").collect()]
+    assert sorted(got, key=str) == sorted([("a", 3.0, 7.0), ("a", None, None), ("c", 3.0, None), (None, 1.0, None), ("a", -9.0, 0.0)], key=str)
+    far = linear.linear_score(["x"], spark.createDataFrame([("a", [0.0, 40.0])], linear.TERMS), df.limit(1), "ward", "log").first()["y_pred"]
+    assert far == pytest.approx(np.exp(120.0))  # not cut
+
+
+def test_many_groups_stay_off_the_driver(spark):
+    df = spark.range(0, 200_000).selectExpr("CAST(id % 50000 AS STRING) AS g", "CAST(id AS DOUBLE) / 1000 AS x", "CAST(2 * id AS DOUBLE) / 1000 + 1 AS y")
+    table = linear.ridge(df, ["x"], "y", "g", alpha=0.0)
+    assert table.count() == 50_000
+    assert table.where(F.abs(F.col("terms")[1] - 2) > 1e-5).count() == 0
+
+
 @pytest.mark.parametrize("alpha", [0.0, 1.0])
 def test_log_linear_solves_the_score_equations(data, alpha):
     pdf, df = data
-    beta = linear.fit_log_linear(df, ["x1", "x2"], "y", "ward", alpha)
+    beta = linear.as_dict(linear.fit_log_linear(df, ["x1", "x2"], "y", "ward", alpha))
     for g, p in pdf.groupby("ward"):
         x, mu = design(p), np.exp(design(p) @ beta[g])
         assert x.T @ ((p.y - mu) / (1 + alpha * mu)) == pytest.approx(np.zeros(3), abs=1e-4)
@@ -69,7 +86,7 @@ def test_spark_glm_agrees(data):
     _, df = data
     x = VectorAssembler(inputCols=["x1", "x2"], outputCol="f").transform(df)
     m = GeneralizedLinearRegression(family="poisson", link="log", featuresCol="f", labelCol="y").fit(x)
-    b = linear.fit_log_linear(df, ["x1", "x2"], "y", F.lit("all"))["all"]
+    b = linear.as_dict(linear.fit_log_linear(df, ["x1", "x2"], "y", F.lit("all")))["all"]
     assert [m.intercept, *m.coefficients] == pytest.approx(list(b), rel=1e-5)
 
 
@@ -79,18 +96,19 @@ def test_dispersion_estimate(spark):
     mu = np.exp(1 + 0.3 * x)
     y = rng.poisson(mu * rng.gamma(2.0, 0.5, size=3000))  # variance mu + 0.5 mu^2
     df = spark.createDataFrame(pd.DataFrame({"x": x, "y": y.astype(float)}))
-    beta, alpha = linear.fit_negbin(df, ["x"], "y", F.lit("all"))
-    assert alpha["all"] == pytest.approx(0.5, abs=0.1)
-    assert list(beta["all"]) == pytest.approx([1, 0.3], abs=0.1)
+    found = linear.fit_negbin(df, ["x"], "y", F.lit("all")).first()
+    assert found["alpha"] == pytest.approx(0.5, abs=0.1)
+    assert found["terms"] == pytest.approx([1, 0.3], abs=0.1)
 
 
 def test_vif(data):
     pdf, df = data
-    got = linear.vif(df.withColumn("x3", F.col("x1") + F.col("x2") * 2), ["x1", "x2"], F.lit("all"))["all"]
+    table = lambda names: {r["feature"]: r["vif"] for r in linear.vif(df.withColumn("x3", F.col("x1") + F.col("x2") * 2), names, F.lit("all")).collect()}
+    got = table(["x1", "x2"])
     x = pdf[["x1", "x2"]].to_numpy()
     g = x.T @ x
     assert [got["x1"], got["x2"]] == pytest.approx(np.diag(g) * np.diag(np.linalg.inv(g)))
-    dup = linear.vif(df.withColumn("x3", F.col("x1") + F.col("x2") * 2), ["x1", "x2", "x3"], F.lit("all"))["all"]
+    dup = table(["x1", "x2", "x3"])
     assert all(np.isinf(v) for v in dup.values())
 
 
