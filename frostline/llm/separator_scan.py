@@ -19,9 +19,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from frostline.llm.shared import Run, texts
-from frostline.llm.tokens import encoder, forget
+from frostline.llm.tokens import encoder, forget, rows_of
 
 BLOCK_IDS = 1 << 15
+ROW_GROUP = 4 << 20
 BLOCKS = "file string, block long, ids binary"
 
 
@@ -60,7 +61,7 @@ def write_flat(docs: DataFrame, run: Run, tokenizer: str, end_id: int, block_ids
                 pa.array(range(document, document + n), kinds[3]), batch.column(0),
             ], names=names)
             document += n
-            for text in batch.column(1).to_pylist():
+            for _, text in rows_of(batch):
                 held += encode.encode_all([text])[0] + end
                 while len(held) >= 4 * block_ids:
                     part = bytes(held[:4 * block_ids])
@@ -72,7 +73,7 @@ def write_flat(docs: DataFrame, run: Run, tokenizer: str, end_id: int, block_ids
             yield pa.RecordBatch.from_arrays(
                 [pa.array([file]), pa.array([block], kinds[1]), pa.array([bytes(held)], kinds[2]), none(kinds[3]), none(kinds[4])], names=names)
 
-    stored = run.store(texts(docs).mapInArrow(flat, BLOCKS + ", document long, doc_id long"), "flat")
+    stored = run.store(texts(docs).mapInArrow(flat, BLOCKS + ", document long, doc_id long"), "flat", ROW_GROUP)
     return (
         stored.filter("block IS NOT NULL").select("file", "block", "ids"),
         stored.filter("block IS NULL").select("file", "document", "doc_id"),

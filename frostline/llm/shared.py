@@ -27,11 +27,11 @@ class Run:
         self.spark = spark
         self.folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
-    def store(self, df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-        """Write ``df`` once and read it back: cuts the lineage, survives lost executors."""
-        writer = df.write
-        if partition_by:
-            writer = writer.partitionBy(*partition_by)
+    def store(self, df: DataFrame, name: str, row_group: int | None = None) -> DataFrame:
+        """Write ``df`` once and read it back: cuts the lineage, survives lost executors.
+
+        ``row_group`` bounds, in bytes, what the writer and later the reader of large binary rows hold at once."""
+        writer = df.write if row_group is None else df.write.option("parquet.block.size", row_group)
         writer.parquet(f"{self.folder}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
 

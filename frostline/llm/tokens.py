@@ -9,12 +9,15 @@ goes through the whole tokenizer.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 
 import numpy as np
+import pyarrow as pa
 
-MAX_PIECES = 400_000   # pieces a worker remembers before it starts anew
+MAX_PIECES = 100_000   # pieces a worker remembers before it starts anew
+MAX_WORDS = 300_000    # plain words likewise
 BATCH_PIECES = 4_096   # pieces handed to the library at once
 # Letters that normalisation leaves alone; the word pattern keeps them together and apart from punctuation.
 PLAIN = re.compile("( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:?]*)")
@@ -49,7 +52,7 @@ class PlainWords:
             word = word.lower()
         coded = self.known.get(word)
         if coded is None:
-            if len(self.known) > MAX_PIECES:
+            if len(self.known) > MAX_WORDS:
                 self.known = {}
             seen = word.encode().decode("latin-1").translate(self.letters)
             coded = self.known[word] = b"".join([self.coded[t.id] for t in self.model.tokenize(seen)])
@@ -107,6 +110,13 @@ class PieceEncoder:
             self.known.update(zip(part, self._ids(part)))
 
 
+def rows_of(batch, columns: int = 2, step: int = 256):
+    """The rows of an Arrow batch as tuples of Python values, a few at a time."""
+    for a in range(0, batch.num_rows, step):
+        part = batch.slice(a, step)
+        yield from zip(*(part.column(c).to_pylist() for c in range(columns)))
+
+
 def encoder(path: str, literal_specials: bool = False) -> PieceEncoder:
     """The worker's encoder for this file, kept between tasks."""
     key = (path, literal_specials)
@@ -117,4 +127,7 @@ def encoder(path: str, literal_specials: bool = False) -> PieceEncoder:
 
 def forget() -> None:
     """Give back what this worker's encoders hold, once a later step has no use for it."""
-    _ENCODERS.clear()
+    if _ENCODERS:
+        _ENCODERS.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
