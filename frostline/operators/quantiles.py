@@ -1,10 +1,10 @@
 """Exact interpolated quantiles per group.
 
-The wanted ranks are located in bounded steps: distinct-value counts; a few cuts per group, at
-approximate quantiles a little below and above each wanted one; row counts between the cuts; and an
-ordered scan of only the part between two cuts that holds a wanted rank. Cuts follow the values' ranks, not
-their size, so an outlier moves no cut: a part that is scanned holds about ``2 * MARGIN`` of a group's rows.
-The result is exact wherever the cuts fall. NaN counts as null.
+The wanted ranks are located in bounded steps: distinct-value counts; cuts per group at approximate
+quantiles of its distinct values; row counts between the cuts; and an ordered scan of only the part between
+two cuts that holds a wanted rank. Cuts follow the values' ranks, not their size, so an outlier moves no
+cut: a part holds about one in ``PARTS`` of a group's distinct values. The result is exact wherever the cuts
+fall. NaN counts as null.
 """
 
 from __future__ import annotations
@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from frostline.runtime import scalars
 
-MARGIN = 1 / 256        # cuts lie this share of the rows beside a wanted rank
-ACCURACY = 4096         # the approximate quantiles' rank error is a 4096th of the rows
+PARTS = 64              # parts of a group's distinct values; one of them is sorted for a wanted rank
+ACCURACY = 4096         # the approximate quantiles' rank error is a 4096th of the distinct values
 
 
 def aggregate(
@@ -64,8 +64,7 @@ def _ranked(df: DataFrame, keys: list[str], quantiles: dict[str, tuple[Column, f
     group = [*keys, "m"]
     counts = long.groupBy(*group, "v").agg(F.count("*").alias("n"))
 
-    ps_all = sorted({min(1.0, max(0.0, p + d)) for _, ps in wanted.values() for p in ps for d in (-MARGIN, MARGIN)})
-    cuts = long.groupBy(*group).agg(F.percentile_approx("v", ps_all, ACCURACY).alias("cuts"))
+    cuts = counts.groupBy(*group).agg(F.percentile_approx("v", [i / PARTS for i in range(1, PARTS)], ACCURACY).alias("cuts"))
     cuts = cuts.withColumnsRenamed({c: f"c_{c}" for c in group})
     at_group = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"c_{c}")) for c in group])
     bucketed = (

@@ -54,7 +54,8 @@ def lateness_summary(df: DataFrame, key: str, on_time: bool = False) -> DataFram
 
 
 def type_summary(df: DataFrame, top: int = 25) -> DataFrame:
-    return lateness_summary(in_top_values(df, "service", top), "service", on_time=True)
+    """The ``top`` most frequent services; their counts come with the summary, so rows are not read for them apart."""
+    return top_k(lateness_summary(df, "service", on_time=True), top, F.desc("n"), F.col("service"))
 
 
 def monthly_summary(df: DataFrame) -> DataFrame:
@@ -152,7 +153,12 @@ def bounding_box(df: DataFrame, padding: float = 0.05) -> DataFrame:
 
 def entropy_and_peak(df: DataFrame, key: str, part: str, entropy: str, peak: str) -> DataFrame:
     """Shannon entropy (natural log) and largest share of each key's distribution over ``part``."""
-    c = counts(df, [key, part])
+    return entropy_of_counts(counts(df, [key, part]), key, part, entropy, peak)
+
+
+def entropy_of_counts(cells: DataFrame, key: str, part: str, entropy: str, peak: str) -> DataFrame:
+    """The same from counts ``n`` by at least key and part; rows without either are left out."""
+    c = known(cells, key, part).groupBy(key, part).agg(F.sum("n").alias("n"))
     total = c.groupBy(key).agg(F.sum("n").alias("t"), F.max("n").alias("m"),
                                F.sum(F.col("n") * F.ln("n")).alias("s"))
     # -sum(p ln p) with p = n/t equals ln t - sum(n ln n)/t, so one pass is enough.
@@ -179,8 +185,9 @@ def type_features(df: DataFrame, min_support: int = 200) -> DataFrame:
          "median_late_all": (F.col("late_hours"), 0.5),
          "median_late_overdue": (F.when(F.col("overdue") == 1, F.col("late_hours")), 0.5)},
     ).where(F.col("n_requests") >= min_support)
-    months = entropy_and_peak(d, "service", "month", "month_entropy", "peak_month_share")
-    wards = entropy_and_peak(d, "service", "ward", "ward_entropy", "top_ward_share")
+    cells = d.groupBy("service", "month", "ward").agg(F.count("*").alias("n"))  # both distributions come from one pass
+    months = entropy_of_counts(cells, "service", "month", "month_entropy", "peak_month_share")
+    wards = entropy_of_counts(cells, "service", "ward", "ward_entropy", "top_ward_share")
     return (
         core.join(months, "service", "left").join(wards, "service", "left")
         .withColumn("rt_cv", F.try_divide("std_rt", "mean_rt"))
