@@ -4,9 +4,11 @@ Jaccard distance is a metric, so documents can be joined by regions around pivot
 
 1. Equal sets are one class from the start; only classes are compared.
 2. Single shingles are the first pivots: {s} is nearer to a set that holds s than to any other.
-   A set of n shingles takes part in the regions of its n - ceil(t n) + 1 first shingles in one
+   A set of n shingles takes part in the regions of its n - ceil(t n) + m first shingles in one
    order of all shingles (rare ones first); a linked set can lack no more than n - ceil(t n) of them,
-   so both meet in a region. That count is the window by which border sets are replicated.
+   so both meet in m regions. That count is the window by which border sets are replicated. m is a tenth of n,
+   so a set that shares fewer shingles than that with any others, such as one common passage, has no link
+   and leaves all its regions.
 3. Each region names its most central member as document pivot. Regions of one pivot form its
    Voronoi cell, and every member that can be near enough by size is measured against it: whoever is within
    1 - t is linked, and the members linked to one pivot need no comparison among themselves.
@@ -28,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from frostline.llm.components import components
@@ -39,6 +41,7 @@ SIMILAR = (75, 100)        # linked when 100 * common >= 75 * united
 FREQUENT = 1 << 18         # shingles whose frequency orders the regions
 SEEN_OFTEN = 3             # times within COUNT_OVER shingles of a task
 COUNT_OVER = 2_000_000
+MEETINGS = 10              # linked sets meet in one region for so many shingles
 BLOCK = 64                 # members of one side in a block comparison
 ROUNDS = 2                 # rounds around pivots before blocks
 WANTED_BITS = 1 << 25      # hashed ids of the documents whose sets are fetched: 4 MB
@@ -105,7 +108,14 @@ def class_of(shingles: np.ndarray) -> int:
 
 
 def prefix_size(n: int, similar: tuple[int, int] = SIMILAR) -> int:
-    return n - -(-similar[0] * n // similar[1]) + 1
+    """Regions of a set of n shingles: sets that link have at least a tenth of the smaller one's size in common."""
+    return n - -(-similar[0] * n // similar[1]) + max(1, n // MEETINGS)
+
+
+def meetings(n: str, similar: tuple[int, int] = SIMILAR) -> Column:
+    """Regions that a set of n shingles shares with any set it links with: that one has at least
+    ceil(t n) shingles, and the two meet in as many regions as the smaller one's share asks for."""
+    return F.greatest(F.expr(f"({similar[0]} * {n} + {similar[1] - 1}) div {similar[1]} div {MEETINGS}"), F.lit(1))
 
 
 def sets_and_counts(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -172,18 +182,22 @@ def prefixes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], words: in
     return texts(docs).mapInArrow(run, "shingle long, class long, n int, central int")
 
 
-def cells(regions: DataFrame) -> DataFrame:
-    """(pivot, pivot_n, class, n, central): members of each pivot's cell, the pivot itself left out.
+def shared_regions(regions: DataFrame) -> DataFrame:
+    """(shingle, class, n, central) of regions with two members or more; others hold no pair."""
+    region = Window.partitionBy("shingle")
+    mixed = regions.select("*", F.min("class").over(region).alias("least"), F.max("class").over(region).alias("most"))
+    return mixed.filter("least <> most").drop("least", "most").dropDuplicates(["shingle", "class"])
 
-    Regions of one member hold no pair and vanish here."""
-    from pyspark.sql import Window
 
-    region = Window.partitionBy("shingle")
-    ranked = regions.select(
-        "class", "n", "central", F.max(F.struct("central", "class", "n")).over(region).alias("pivot"),
-        F.min("class").over(region).alias("least"), F.max("class").over(region).alias("most"))
+def cells(shared: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """(pivot, pivot_n, class, n, central): members of each pivot's cell, the pivot itself left out.
+
+    Sets that meet others too seldom to link with any have left before the pivots are named."""
+    able = shared.groupBy("class", "n").agg(F.count("*").alias("met")).filter(F.col("met") >= meetings("n", similar))
+    kept = shared.join(able.select("class"), "class")
+    ranked = kept.select("class", "n", "central", F.max(F.struct("central", "class", "n")).over(Window.partitionBy("shingle")).alias("pivot"))
     return (
-        ranked.filter("least <> most AND class <> pivot.class")
+        ranked.filter("class <> pivot.class")
         .select(F.col("pivot.class").alias("pivot"), F.col("pivot.n").alias("pivot_n"), "class", "n", "central").distinct()
     )
 
@@ -317,7 +331,9 @@ def near_duplicates(docs: DataFrame, run: Run, words: int = WORDS, similar: tupl
     by_key = np.argsort(keys)
     frequent = (keys[by_key], top["seen"].to_numpy(np.int64)[by_key])
 
-    members = run.store(cells(prefixes(docs, frequent, words, similar)), "cells")
+    shared = run.store(shared_regions(prefixes(docs, frequent, words, similar)), "shared-regions")
+    members = run.store(cells(shared, similar), "cells")
+    run.drop("shared-regions")
     classes = run.store(named.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("rep")), "classes")
     sets = run.store(stored_sets(docs, classes.join(matchable(members, similar), "class"), words), "sets")
 
