@@ -3,4 +3,4 @@
 
 def load() -> None:
     """Import every module that registers queries."""
-    from frostline.catalog import models, requests, series, stats  # noqa: F401
+    from frostline.catalog import models, requests, series, stats, storage  # noqa: F401

@@ -103,7 +103,7 @@ def m15(spark, sf):
     folds = sp.fold_days(t, 5).select("date", "fold")
     t = materialize(t.join(folds, "date"), "cv")
     out = None
-    for name in ("mean", "ridge", "poisson"):
+    for name in ("mean", "ridge", "poisson", "negbin_fixed"):
         m = reg.mean_cv(reg.cross_val(t, FEATURES, "Y", name)).withColumn("model", F.lit(name))
         out = m if out is None else out.unionByName(m)
     return rounded(out, 4)
@@ -114,7 +114,7 @@ def m16(spark, sf):
     """Fit on train + val, store the model, read it back and score val and test rows."""
     t = split_features(spark, sf)
     path = scratch_path(spark, "models")
-    for name in ("mean", "ridge", "poisson"):
+    for name in ("mean", "ridge", "poisson", "negbin_fixed"):
         fitted = reg.fit(name, t.where(F.col("split") != "test"), FEATURES, "Y", WARD)
         reg.save(spark, fitted, f"{path}/{name}", DEFAULT_PARAMS)
         stored, _ = reg.load(spark, f"{path}/{name}", WARD)

@@ -40,7 +40,7 @@ class BoostedCounts:
             out = _add_tree(out, self.features, cols, tree, self.rate)
             if i % store_every == 0 and i < len(self.trees):
                 out = materialize(out, "boost-score")
-        return out.withColumn(name, F.exp(F.least(F.col("_f"), F.lit(30.0)))).drop("_f", "_all")
+        return out.withColumn(name, F.exp("_f")).drop("_f", "_all")
 
 
 def _vector(df: DataFrame, features: list[str]) -> DataFrame:
