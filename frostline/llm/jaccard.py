@@ -42,7 +42,7 @@ FREQUENT = 1 << 18         # shingles whose frequency orders the regions
 SEEN_OFTEN = 3             # times within COUNT_OVER shingles of a task
 COUNT_OVER = 2_000_000
 MEETINGS = 10              # linked sets meet in one region for so many shingles
-BLOCK = 64                 # members of one side in a block comparison
+BLOCK = 32                 # members of one side in a block comparison
 ROUNDS = 2                 # rounds around pivots before blocks
 WANTED_BITS = 1 << 25      # hashed ids of the documents whose sets are fetched: 4 MB
 
@@ -189,15 +189,15 @@ def shared_regions(regions: DataFrame) -> DataFrame:
     return mixed.filter("least <> most").drop("least", "most").dropDuplicates(["shingle", "class"])
 
 
-def cells(shared: DataFrame, similar: tuple[int, int]) -> DataFrame:
+def cells(shared: DataFrame, run: Run, similar: tuple[int, int]) -> DataFrame:
     """(pivot, pivot_n, class, n, central): members of each pivot's cell, the pivot itself left out.
 
     Sets that meet others too seldom to link with any have left before the pivots are named."""
     able = shared.groupBy("class", "n").agg(F.count("*").alias("met")).filter(F.col("met") >= meetings("n", similar))
-    kept = shared.join(able.select("class"), "class")
-    ranked = kept.select("class", "n", "central", F.max(F.struct("central", "class", "n")).over(Window.partitionBy("shingle")).alias("pivot"))
+    kept = run.store(shared.join(able.select("class"), "class"), "able-regions")
+    pivots = kept.groupBy("shingle").agg(F.max(F.struct("central", "class", "n")).alias("pivot"))  # combined before the shuffle
     return (
-        ranked.filter("class <> pivot.class")
+        kept.join(pivots, "shingle").filter("class <> pivot.class")
         .select(F.col("pivot.class").alias("pivot"), F.col("pivot.n").alias("pivot_n"), "class", "n", "central").distinct()
     )
 
@@ -332,8 +332,8 @@ def near_duplicates(docs: DataFrame, run: Run, words: int = WORDS, similar: tupl
     frequent = (keys[by_key], top["seen"].to_numpy(np.int64)[by_key])
 
     shared = run.store(shared_regions(prefixes(docs, frequent, words, similar)), "shared-regions")
-    members = run.store(cells(shared, similar), "cells")
-    run.drop("shared-regions")
+    members = run.store(cells(shared, run, similar), "cells")
+    run.drop("shared-regions", "able-regions")
     classes = run.store(named.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("rep")), "classes")
     sets = run.store(stored_sets(docs, classes.join(matchable(members, similar), "class"), words), "sets")
 
