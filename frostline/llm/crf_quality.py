@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from frostline.llm.labelled import labelled_sample, logistic, sigmoid
 from frostline.llm.shared import texts
+from frostline.llm.tokens import forget
 
 FIT_DOCUMENTS = 6_000    # labelled documents that the field is fitted on, at most
 CHAIN = 64               # lines of a chain while fitting; a longer document gives several chains
@@ -191,6 +192,7 @@ def score(docs: DataFrame, field: LineField | None, name: str = "score") -> Data
     held = docs.sparkSession.sparkContext.broadcast(field)
 
     def rate(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        forget()
         known = held.value
         for batch in batches:
             yield pd.Series([0.5 if known is None else known.score(t or "") for t in batch], dtype="float64")

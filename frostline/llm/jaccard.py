@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from frostline.llm.components import components
 from frostline.llm.shared import Run, texts
+from frostline.llm.tokens import forget
 
 WORDS = 5
 SIMILAR = (75, 100)        # linked when 100 * common >= 75 * united
@@ -42,7 +43,7 @@ FREQUENT = 1 << 18         # shingles whose frequency orders the regions
 SEEN_OFTEN = 3             # times within COUNT_OVER shingles of a task
 COUNT_OVER = 2_000_000
 MEETINGS = 10              # linked sets meet in one region for so many shingles
-BLOCK = 32                 # members of one side in a block comparison
+BLOCK = 256                # members of one side in a block comparison
 ROUNDS = 2                 # rounds around pivots before blocks
 WANTED_BITS = 1 << 25      # hashed ids of the documents whose sets are fetched: 4 MB
 
@@ -129,6 +130,7 @@ def sets_and_counts(docs: DataFrame, words: int = WORDS) -> DataFrame:
         return pa.RecordBatch.from_arrays(columns, names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         shingler, parts, held = Shingler(words), [], 0
         for batch in batches:
             sizes, classes = [], []
