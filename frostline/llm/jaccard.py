@@ -267,25 +267,27 @@ def stored_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return rows.mapInArrow(run, "class long, set binary").join(wanted.select("class"), "class").dropDuplicates(["class"])
 
 
-def in_blocks(members: DataFrame, similar: tuple[int, int], block: int = BLOCK) -> DataFrame:
+def in_blocks(members: DataFrame, sets: DataFrame, similar: tuple[int, int], block: int = BLOCK) -> DataFrame:
     """Links (a, b) between members of different components of a cell.
 
     members: cell, class, n, comp, outside (not in the pivot's component), low, high (distance to the
-    pivot), set, count (members of the cell). Members are dealt by hash to blocks; every block of
-    outside members meets every block of the cell.
+    pivot), count (members of the cell); sets: class, set. Members are dealt by hash to blocks; every
+    block of outside members meets every block of the cell. Sets join the members once these are dealt.
     """
     least, base = similar
     reach = 1 - least / base + 1e-9
     blocks = F.ceil(F.col("count") / F.lit(block)).cast("int")
     own = F.pmod(F.xxhash64("class"), blocks.cast("long")).cast("int")
     dealt = members.withColumn("blocks", blocks).withColumn("own", own)
-    first = dealt.filter("outside").select("*", F.col("own").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(True).alias("left"))
+    first = dealt.filter("outside").select("*", F.col("own").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(True).alias("left")).filter("i <> j")
     # a block of the cell goes to the blocks that hold outside members
     used = dealt.filter("outside").select("cell", F.col("own").alias("i")).distinct()
     second = dealt.join(used, "cell").select(*dealt.columns, "i", F.col("own").alias("j"), F.lit(False).alias("left"))
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         left, right = rows[rows["left"]], rows[~rows["left"]]
+        if left.empty:  # a block of the cell against its own outside members
+            left = right[right["outside"]]
         sets = {c: np.frombuffer(s, np.uint64) for c, s in zip(rows["class"], rows["set"])}
         label: dict[int, int] = {}
 
@@ -309,8 +311,8 @@ def in_blocks(members: DataFrame, similar: tuple[int, int], block: int = BLOCK)
                     label[max(a, b)] = min(a, b)
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    columns = ["cell", "i", "j", "left", "class", "n", "comp", "low", "high", "set"]
-    return first.select(columns).union(second.select(columns)).groupBy("cell", "i", "j").applyInPandas(compare, "a long, b long")
+    columns = ["cell", "i", "j", "left", "outside", "class", "n", "comp", "low", "high"]
+    return first.select(columns).union(second.select(columns)).join(sets, "class").groupBy("cell", "i", "j").applyInPandas(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, run: Run, words: int = WORDS, similar: tuple[int, int] = SIMILAR,
@@ -370,7 +372,7 @@ def near_duplicates(docs: DataFrame, run: Run, words: int = WORDS, similar: tupl
         state.join(near, ["cell", "class"], "left")
         .withColumn("low", F.coalesce("distance", 1 - ratio)).withColumn("high", F.coalesce("distance", F.lit(1.0)))
     )
-    rest = in_blocks(bounded.join(sets, "class").drop("distance"), similar, block)
+    rest = in_blocks(bounded.drop("distance"), sets, similar, block)
     links = run.store(links.union(rest), "links")
     final = components(links, run, "final")
 
