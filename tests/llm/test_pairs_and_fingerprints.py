@@ -201,6 +201,19 @@ def test_posting_lists_recall_and_scores(spark, run_of):
     assert found[2000] == want[2000] and found[2100] == want[2100]  # ties go to smaller ids
 
 
+def test_posting_lists_recall_without_clusters(spark, run_of):
+    """Neighbours are spread over many lists; a fixed ratio of centroid distances finds two thirds of them."""
+    x = np.random.default_rng(4).normal(size=(6000, 24))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32).astype(float)
+    got = posting_lists.nearest(vectors(spark, [(i, v.tolist(), 1) for i, v in enumerate(x)]), lambda c: c % 100 == 0, run_of("ann")).collect()
+    asked = np.arange(0, len(x), 100)
+    far = posting_lists.distances(x[asked], x)
+    far[np.arange(len(asked)), asked] = np.inf
+    want = {(100 * i, j) for i, row in enumerate(np.argsort(far, axis=1)[:, :10].tolist()) for j in row}
+    assert len(got) == len(want)
+    assert len({(r["query_id"], r["vec_id"]) for r in got} & want) >= 0.9 * len(want)
+
+
 def test_vectors_that_take_no_part(spark, run_of):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, None), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [None, 1.0]), (7, []),
