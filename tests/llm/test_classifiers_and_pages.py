@@ -152,6 +152,22 @@ def test_branches_that_repeat_are_low(spark, run_of):
     assert style_tree.extract(pages.limit(0), run_of("pages")).count() == 0
 
 
+def test_copies_of_a_page_keep_their_text(spark, run_of):
+    """A re-crawl of one page, and a host on which copies of one page outnumber the others, lose no text."""
+    page = '<html><body><div class="top">All pages</div><div class="text">{}</div></body></html>'
+    rows = [(i, f"https://again.example/{i}", page.format("the only page")) for i in range(5)]
+    rows += [(10 + i, f"https://many.example/{i}", page.format("text 0" if i < 12 else f"text {i}")) for i in range(16)]
+    bare = "<html><body><div>{}</div></body></html>"
+    rows += [(30 + i, f"https://same.example/{i}", bare.format("the same words") + f"<!-- {i} -->") for i in range(5)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
+    got = {r["page_id"]: r["text"] for r in style_tree.extract(pages, run_of("pages")).collect()}
+    assert [got[i] for i in range(5)] == ["All pages the only page"] * 5
+    assert [got[10 + i] for i in range(16)] == ["text 0"] * 12 + [f"text {i}" for i in range(12, 16)]
+    assert [got[30 + i] for i in range(5)] == ["the same words"] * 5
+    tree = {(r["host"], r["path"]): r["pages"] for r in style_tree.style_tree(pages).collect()}
+    assert tree["again.example", "/html/body/div.text"] == 1 and tree["many.example", "/html/body/div.text"] == 5
+
+
 def test_pages_query_equals_sql(spark, sf_dir):
     duckdb.sql(f"CREATE OR REPLACE VIEW pages AS SELECT * FROM '{sf_dir}/pages.parquet'")
     want = sorted(duckdb.sql(catalog.ORACLE["op7_site_style_tree"]).fetchall())
