@@ -241,3 +241,52 @@ def test_numeric_matrix(spark):
 
     df = spark.createDataFrame([(True, float("inf"), None), (False, float("nan"), 2.0)], "a boolean, b double, c double")
     assert [tuple(r) for r in numeric_matrix(df, ["a", "b", "c"]).collect()] == [(1.0, 0.0, 0.0), (0.0, 0.0, 2.0)]
+
+
+def test_registered_models_do_the_whole_job(spark, data, monkeypatch):
+    """Rounds of the library, every model and fold step, the full grid; the fits themselves are stubs."""
+    from frostline.catalog import models as queries
+
+    class Done(Exception):
+        pass
+
+    frame = data[1].select("ward", F.col("y").alias("Y"), F.lit("train").alias("split"), F.expr("date_add(date'2020-01-01', cast(i as int))").alias("date"))
+    weekly = frame.select("ward", F.col("Y").alias("y"), "split", F.col("date").alias("week"))
+    seen = []
+    monkeypatch.setattr(queries, "split_features", lambda *_: frame)
+    monkeypatch.setattr(queries, "weekly_split", lambda *_: (weekly, []))
+    monkeypatch.setattr(queries, "sweep_input", lambda *_: frame)
+
+    def caught(target, name, keep):
+        def record(*args, **options):
+            seen.append(keep(args, options))
+            raise Done
+        monkeypatch.setattr(target, name, record)
+
+    caught(boosting, "fit_boosted_counts", lambda a, o: o.get("rounds", 300))
+    caught(reg, "fit_boosted_counts", lambda a, o: o.get("rounds", 300))
+    for f in (queries.m12, queries.m13):
+        with pytest.raises(Done):
+            f(spark, None)
+    assert seen == [300, 300]
+    seen.clear()
+    caught(reg, "rolling_cv", lambda a, o: (a[3].select("fold").distinct().count(), {m: p.get("rounds", 300) for m, p in a[4].items()}))
+    with pytest.raises(Done):
+        queries.m17(spark, None)
+    assert seen == [(len(range(24, 150 - 8 + 1, 4)), {"poisson": 300, "negbin_fixed": 300, "boosted": 300})]
+    seen.clear()
+    caught(sweep, "run_grid", lambda a, o: (len(a), o))
+    for f in (queries.p6, queries.p8):
+        with pytest.raises(Done):
+            f(spark, None)
+    assert seen == [(1, {}), (1, {})]  # no grid but the full one
+    seen.clear()
+    scores = spark.createDataFrame([("a", 0, 1.0, 1.0, 1.0)], "ward string, fold int, mae double, rmse double, poisson_deviance double")
+    monkeypatch.setattr(reg, "cross_val", lambda *a, **o: seen.append(a[3]) or scores)
+    assert {r["model"] for r in queries.m15(spark, None).collect()} == set(seen) == set(reg.MODELS)
+    seen.clear()
+    mean = reg.fit_mean
+    monkeypatch.setattr(reg, "fit", lambda name, *a, **o: seen.append(name) or mean(*a, **o))
+    monkeypatch.setattr(queries.mt, "metrics", lambda *a: scores)
+    queries.m16(spark, None)
+    assert set(seen) == set(reg.MODELS)
