@@ -2,8 +2,7 @@
 
 Centroids of balanced clusters lie in memory with a neighbourhood graph over them; the vectors lie in
 one posting list per centroid. A vector near a border is replicated to several lists: those
-whose centroid is hardly farther than the nearest, leaving out centroids closer to one already chosen
-than to the vector.
+whose centroid is hardly farther than the nearest, leaving out centroids that lie beside one already chosen.
 
 A query knows a bound on the distance of its k-th neighbour, from the sample that the centroids are fitted
 on. It searches the graph and reads the lists whose centroid is farther than the nearest by at most
@@ -34,7 +33,8 @@ SAMPLE = 20_000
 LIST_SIZE = 200            # vectors a list should hold
 MOST_LISTS = 1024
 REPLICAS = 4
-BORDER = 1.06              # a vector joins lists up to this ratio of its nearest centroid's distance
+BORDER = 1.01              # a vector joins lists up to this ratio of its nearest centroid's distance
+BESIDE = 0.25              # but none whose centroid is nearer to one already joined than this share of its distance
 DEGREE = 16                # graph neighbours of a centroid
 BEAM = 48                  # centroids a search keeps; a query's search goes on until it has passed its limit
 RECALL = 0.95              # share of the neighbours inside the sample that the lists read must hold
@@ -189,7 +189,19 @@ class Index:
         far = self.others(ids, x)
         read = self.lists(x, self.bound(x, far, k))
         if len(self.sample):
-            far[~np.logical_or.reduceat(read[:, self.at], self.start, axis=1)] = np.inf
+            inside = np.logical_or.reduceat(read[:, self.at], self.start, axis=1) & np.isfinite(far)
+            few = np.flatnonzero(inside.sum(1) < k)
+            if len(few):  # further lists in centroid order until k others are certain
+                order = np.argsort(distances(x[few], self.graph.centre), axis=1, kind="stable")
+                place = np.argsort(order, axis=1, kind="stable")
+                first = np.minimum.reduceat(place[:, self.at], self.start, axis=1)
+                first = np.sort(np.where(np.isfinite(far[few]), first, read.shape[1]), axis=1)
+                last = first[:, k - 1] if first.shape[1] >= k else np.full(len(few), read.shape[1])
+                read[few] |= place <= last[:, None]
+                inside = np.logical_or.reduceat(read[:, self.at], self.start, axis=1) & np.isfinite(far)
+            far[~inside] = np.inf
+        else:
+            read[:] = True
         return read, self.bound(x, far, k)
 
     def least_share(self, k: int, recall: float) -> float:
@@ -270,7 +282,7 @@ def post(rows: DataFrame, graph, replicas: int = REPLICAS, border: float = BORDE
                 for c in range(1, keep.shape[1]):  # not beside a list that the vector already joins
                     if not keep[:, c].any():
                         break
-                    beside = ((between[node[:, :c], node[:, c:c + 1]] < far[:, c:c + 1]) & keep[:, :c]).any(1)
+                    beside = ((between[node[:, :c], node[:, c:c + 1]] < BESIDE * far[:, c:c + 1]) & keep[:, :c]).any(1)
                     keep[:, c] &= ~beside & (keep[:, :c].sum(1) < replicas)
                 r, c = np.nonzero(keep)
                 copies = part.take(pa.array(r))

@@ -214,6 +214,25 @@ def test_posting_lists_recall_without_clusters(spark, run_of):
     assert len({(r["query_id"], r["vec_id"]) for r in got} & want) >= 0.9 * len(want)
 
 
+def test_border_vectors_join_several_lists(spark):
+    x = np.random.default_rng(6).normal(size=(3000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    graph = posting_lists.CentroidGraph.build(posting_lists.balanced_centroids(x, 60))
+    rows = posting_lists.usable(vectors(spark, [(i, v.tolist(), 1) for i, v in enumerate(x)]))
+    assert posting_lists.post(rows, spark.sparkContext.broadcast(graph)).count() > 1.02 * len(x)
+
+
+def test_a_query_on_a_small_list_reads_further():
+    """Three copies are a list of their own; a query among them still reads ten others, and no list beyond these."""
+    x = np.concatenate([np.tile([1.0, 0.0], (3, 1)), [[5.0, 0.1 * i] for i in range(20)], [[90.0, 0.1 * i] for i in range(20)]])
+    at = np.repeat([0, 1, 2], [3, 20, 20])
+    centre = np.array([x[at == i].mean(0) for i in range(3)])
+    index = posting_lists.Index(posting_lists.CentroidGraph.build(centre), np.arange(len(x)), x, at, np.arange(len(x)), 1e-3)
+    read, bound = index.choose(np.array([0]), x[:1], 10)
+    assert read.tolist() == [[True, True, False]]
+    assert bound[0] == np.sort(np.sqrt(((x[1:23] - x[0]) ** 2).sum(1)))[9]
+
+
 def test_vectors_that_take_no_part(spark, run_of):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, None), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [None, 1.0]), (7, []),
