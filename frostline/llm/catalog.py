@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frostline.llm import bpe, crf_quality, jaccard, packing, pfor, posting_lists, separator_scan, spotsigs, style_tree, toxicity
+from frostline.llm import (
+    bpe, crf_quality, hard_negatives, jaccard, packing, pfor, posting_lists, separator_scan, spotsigs, style_tree, substring_dedup, toxicity,
+)
 from frostline.llm.labelled import fold
 from frostline.llm.shared import Run, table
 
@@ -78,10 +80,22 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"), Run(spark, "op10"))
 
 
+def op11_seed_and_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.repeats(table(spark, sf_dir, "documents"), Run(spark, "op11"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_strassen_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(vectors, label, lambda vec_id: vec_id % 100 == 0, Run(spark, "op12"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_toxicity_grammar, op2_patched_frame_of_reference, op3_line_field_quality, op4_forced_boundary_bpe, op5_separator_scan, op6_spot_signatures, op7_site_style_tree,
         op8_hierarchical_packing, op9_balanced_posting_lists, op10_ngram_jaccard_join,
+        op11_seed_and_extend, op12_strassen_hard_negatives,
     )
 }
 ORACLE: dict[str, str] = {
@@ -108,4 +122,36 @@ ORACLE: dict[str, str] = {
         SELECT reach.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(r) AS component_id
         FROM reach LEFT JOIN sizes USING (doc_id) GROUP BY reach.doc_id
     """,
+    "op11_seed_and_extend": r"""
+        WITH words AS (
+            SELECT row_number() OVER () AS r, coalesce(doc_id, 9223372036854775807) AS d, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        windows AS (
+            SELECT r, d, unnest(range(1, len(w) - 18)) AS i, unnest(list_transform(range(1, len(w) - 18), lambda i: array_to_string(w[i:i + 19], ' '))) AS g FROM words WHERE len(w) >= 20),
+        known AS (SELECT r, i, d > min(d) OVER (PARTITION BY g) OR i > min(i) OVER (PARTITION BY g, r) AS again FROM windows),
+        lost AS (SELECT DISTINCT r, unnest(range(i, i + 20)) AS i FROM known WHERE again),
+        single AS (SELECT r, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM words),
+        kept AS (
+            SELECT r, count(*) FILTER (WHERE lost.i IS NOT NULL) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE lost.i IS NULL) AS kept
+            FROM single LEFT JOIN lost USING (r, i) GROUP BY r)
+        SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM words LEFT JOIN kept USING (r)
+    """,
+    "op12_strassen_hard_negatives": r"""
+        WITH rows AS (
+            SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        pairs AS (
+            SELECT a.r AS ar, a.vec_id AS anchor_id, a.label AS al, c.r AS cr, c.vec_id, c.label,
+                   CAST(list_sum(list_transform(list_zip(a.v, c.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+            FROM rows a JOIN rows c ON a.vec_id % 100 = 0 AND a.r <> c.r),
+        positives AS (
+            SELECT ar, anchor_id, vec_id AS positive_id, cr, score AS positive_score FROM pairs WHERE label = al
+            QUALIFY row_number() OVER (PARTITION BY ar ORDER BY score DESC, vec_id, cr) <= 5)
+        SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.ar, p.cr ORDER BY score DESC, vec_id, n.cr) AS INTEGER) AS rank,
+               vec_id AS negative_id, positive_score, score AS negative_score
+        FROM positives p JOIN pairs n ON p.ar = n.ar AND n.label <> al AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+        QUALIFY rank <= 10
+    """,
 }
