@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frostline.llm import (
-    bpe, crf_quality, hard_negatives, jaccard, packing, pfor, posting_lists, separator_scan, spotsigs, style_tree, substring_dedup, toxicity,
+    bpe, collocations, crf_quality, hard_negatives, jaccard, packing, pfor, posting_lists, separator_scan, spotsigs, style_tree, substring_dedup, toxicity,
 )
 from frostline.llm.labelled import fold
 from frostline.llm.shared import Run, table
@@ -91,11 +91,15 @@ def op12_strassen_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(vectors, label, lambda vec_id: vec_id % 100 == 0, Run(spark, "op12"))
 
 
+def op13_branch_and_bound_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.best_phrases(table(spark, sf_dir, "documents"), Run(spark, "op13"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_toxicity_grammar, op2_patched_frame_of_reference, op3_line_field_quality, op4_forced_boundary_bpe, op5_separator_scan, op6_spot_signatures, op7_site_style_tree,
         op8_hierarchical_packing, op9_balanced_posting_lists, op10_ngram_jaccard_join,
-        op11_seed_and_extend, op12_strassen_hard_negatives,
+        op11_seed_and_extend, op12_strassen_hard_negatives, op13_branch_and_bound_phrases,
     )
 }
 ORACLE: dict[str, str] = {
@@ -154,4 +158,28 @@ ORACLE: dict[str, str] = {
         FROM positives p JOIN pairs n ON p.ar = n.ar AND n.label <> al AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
         QUALIFY rank <= 10
     """,
+    "op13_branch_and_bound_phrases": r"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(regexp_split_to_array(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM documents),
+        counts AS (
+            SELECT lang, g, count(*) AS f FROM (
+                SELECT lang, unnest(flatten(list_transform(range(1, 5), lambda m: list_transform(range(1, len(w) - m + 2), lambda i: w[i:i + m - 1])))) AS g FROM pieces)
+            GROUP BY lang, g),
+        totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM counts WHERE len(g) = 1 GROUP BY lang),
+        candidates AS (SELECT lang, g, f AS a FROM counts WHERE len(g) > 1 AND f >= 30),
+        cuts AS (SELECT lang, g, a, unnest(range(1, len(g))) AS k FROM candidates),
+        scored AS (
+            SELECT c.lang, c.g, c.a, k, x.f AS l, y.f AS r, CAST(CAST(c.a AS HUGEINT) * 2000000 // (x.f + y.f) AS BIGINT) AS score
+            FROM cuts c JOIN counts x ON c.lang = x.lang AND x.g = c.g[1:k] JOIN counts y ON c.lang = y.lang AND y.g = c.g[k + 1:len(c.g)]
+            QUALIFY row_number() OVER (PARTITION BY c.lang, c.g ORDER BY score, k) = 1),
+        inside AS (
+            SELECT lang, a AS longer, unnest(flatten(list_transform(range(2, len(g)), lambda m: list_transform(range(1, len(g) - m + 2), lambda i: g[i:i + m - 1])))) AS g
+            FROM candidates WHERE len(g) > 2),
+        covered AS (SELECT DISTINCT c.lang, c.g FROM candidates c JOIN inside USING (lang, g) WHERE 100 * CAST(longer AS HUGEINT) >= 80 * CAST(a AS HUGEINT))
+        SELECT s.lang, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank,
+               array_to_string(g, ' ') AS phrase, a, l, r, n, score
+        FROM scored s JOIN totals USING (lang) ANTI JOIN covered USING (lang, g)
+        QUALIFY rank <= 2000
+    """,
 }

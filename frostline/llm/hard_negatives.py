@@ -85,7 +85,8 @@ def scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def whole_numbers(values: np.ndarray) -> np.ndarray:
     """floor(256 x) of finite doubles as int64."""
-    scaled = np.floor(values * SCALE)
+    with np.errstate(over="ignore"):
+        scaled = np.floor(values * SCALE)
     if not len(scaled) or np.abs(scaled).max() < 2.0 ** 62:
         return scaled.astype(np.int64)
     return np.array([max(-MOST, min(MOST, int(x) * SCALE if abs(x) >= 2.0 ** 53 else math.floor(x * SCALE))) for x in values.tolist()], np.int64)
