@@ -159,7 +159,11 @@ def fit_log_linear(df: DataFrame, features: list[str], target: str, group: str |
             done = np.max(np.abs(new - old)) < tol
             new = old if done else new
         else:
-            new, last = _solve(s[:k * k].reshape(k, k), s[k * k:k * k + k]), beta  # if done, this step is the last
+            last = beta
+            try:
+                new = _solve(s[:k * k].reshape(k, k), s[k * k:k * k + k])  # if done, this step is the last
+            except np.linalg.LinAlgError:  # sums that are not finite: this group has no solution
+                new, done = np.full(k, np.nan), True
         return pd.DataFrame({"g": [r["g"]], "terms": [list(new)], "old": [list(last)], "dev": [dev], "active": [not done], "alpha": [r["alpha"]]})
 
     for _ in range(max_iter):

@@ -1,14 +1,13 @@
 """Models by name with one interface, cross-validation and the train / evaluate protocol.
 
 Linear models are fitted for all groups (areas, folds) in the same passes; the tree model
-is one pooled fit per fold.
+pools the areas, and the trees of all folds grow in the same jobs.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from frostline.models import linear
-from frostline.models.boosting import BoostedCounts, fit_boosted_counts, load_boosted, save_boosted
+from frostline.models.boosting import BoostedCounts, fit_boosted_counts, fit_many, load_boosted, predict_each, save_boosted
 from frostline.models.metrics import mae, metrics, poisson_deviance, rmse
 from frostline.runtime import materialize
 
@@ -109,19 +108,12 @@ def cross_val(df: DataFrame, features: list[str], target: str, model: str, k: in
               area: str = "ward", **options) -> DataFrame:
     """Per (area, fold) metrics of a k-fold cross-validation.
 
-    Every row is sent once to each fold it trains, under the group key area|fold, so a
-    grouped model needs one fit for all folds.
+    A grouped model sends every row once to each fold it trains, under the group key area|fold, and needs
+    one fit for all folds; a pooled one keeps a row once, with the folds it trains.
     """
     if model in POOLED:
-        def one(f: int) -> DataFrame:
-            fitted = fit(model, df.where(F.col(fold) != f), features, target, F.lit("all"), **options)
-            return fitted.predict(df.where(F.col(fold) == f))
-
-        with ThreadPoolExecutor(max_workers=min(k, 4)) as pool:
-            frames = list(pool.map(one, range(k)))
-        scored = frames[0]
-        for f in frames[1:]:
-            scored = scored.unionByName(f)
+        others = F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda f: f != F.col(fold))
+        scored = predict_each(fit_many(df, features, target, others, k, **options), df, F.col(fold))
     else:
         train = df.withColumn("_f", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).where(F.col("_f") != F.col(fold))
         fitted = fit(model, train.withColumn("_key", F.concat_ws("|", area, "_f")), features, target, F.col("_key"), **options)
@@ -151,11 +143,11 @@ def rolling_cv(df: DataFrame, features: list[str], target: str, folds: DataFrame
                week: str = "week") -> DataFrame:
     """Expanding-window metrics per (model, fold); a fold that fails leaves its error text.
 
-    ``models`` maps a registered name to its options. Fitting and scoring both count: metrics are
-    computed before a fold is called good, and metrics that are not finite are an error too. Grouped
-    models fit all folds in the same passes; only if that fails is each fold tried on its own.
+    ``models`` maps a registered name to its options. Every model fits all folds in the same passes. Fitting and
+    scoring both count: metrics that are not finite are an error, in that fold alone.
     """
-    rows = materialize(df, "rolling").join(folds, week)  # one copy of the rows; a pass joins the folds they serve
+    base = materialize(df, "rolling")
+    rows = base.join(folds, week)  # one copy of the rows; a pass joins the folds they serve
     train, valid = rows.where(F.col("role") == "train"), rows.where(F.col("role") == "valid")
     spans = rows.groupBy("fold").agg(
         *[f(F.when(F.col("role") == r, F.col(week))).alias(f"{r}_{n}")
@@ -163,40 +155,26 @@ def rolling_cv(df: DataFrame, features: list[str], target: str, folds: DataFrame
         F.count_if(F.col("role") == "train").alias("train_rows"), F.count_if(F.col("role") == "valid").alias("valid_rows"))
     ids = [r[0] for r in folds.select("fold").distinct().orderBy("fold").collect()]  # bounded by the calendar
 
-    def scored(name: str, options: dict, fold: int | None) -> dict[int, tuple]:
-        """MAE and RMSE of one fold or, with None, of all folds at once; a few numbers per fold."""
-        mine = (lambda d: d) if fold is None else (lambda d: d.where(F.col("fold") == fold))
-        key = F.lit("all") if name in POOLED else F.col("fold")
-        predicted = fit(name, mine(train), features, target, key, **options).predict(mine(valid))
-        return {r["fold"]: (r["mae"], r["rmse"]) for r in metrics(predicted, ["fold"], target).collect()}
-
-    def tried(name: str, options: dict, fold: int) -> tuple:
-        try:
-            mae_, rmse_ = scored(name, options, fold).get(fold, (None, None))
-        except Exception as exc:  # recorded, so the other folds still get their scores
-            return fold, None, None, str(exc)
-        return checked(fold, mae_, rmse_)
+    def scored(name: str, options: dict) -> DataFrame:
+        if name not in POOLED:
+            return fit(name, train, features, target, F.col("fold"), **options).predict(valid)
+        number = (F.array_position(F.array(*[F.lit(i) for i in ids]), F.col("fold")) - 1).cast("int")
+        by_week = folds.where(F.col("role") == "train").groupBy(week).agg(F.collect_list(number).alias("_trains"))
+        found = fit_many(base.join(by_week, week), features, target, F.col("_trains"), len(ids), **options)
+        return predict_each(found, valid, number)
 
     def checked(fold: int, mae_: float | None, rmse_: float | None) -> tuple:
         if mae_ is None or rmse_ is None or not np.isfinite([mae_, rmse_]).all():
             return fold, mae_, rmse_, "no finite predictions or targets in this fold"
         return fold, mae_, rmse_, ""
 
-    def one(name: str, options: dict) -> DataFrame:
-        done = None
-        if name not in POOLED:
-            try:
-                found = scored(name, options, None)
-                done = [checked(f, *found.get(f, (None, None))) for f in ids]
-            except Exception:  # some fold fails: each is tried on its own and keeps its own error
-                done = None
-        if done is None:
-            with ThreadPoolExecutor(max_workers=4) as pool:
-                done = list(pool.map(lambda f: tried(name, options, f), ids))
-        return df.sparkSession.createDataFrame(done, "fold int, mae double, rmse double, error string").withColumn("model", F.lit(name))
-
     out = None
     for name, options in models.items():
-        m = one(name, options)
+        try:
+            found = {r["fold"]: (r["mae"], r["rmse"]) for r in metrics(scored(name, options), ["fold"], target).collect()} if ids else {}
+            done = [checked(f, *found.get(f, (None, None))) for f in ids]
+        except Exception as exc:  # recorded, so the other models still get their scores
+            done = [(f, None, None, str(exc)) for f in ids]
+        m = df.sparkSession.createDataFrame(done, "fold int, mae double, rmse double, error string").withColumn("model", F.lit(name))
         out = m if out is None else out.unionByName(m)
     return out.join(spans, "fold")

@@ -142,6 +142,71 @@ def test_one_boosting_leaf_is_the_newton_step(data):
     assert p == pytest.approx(pdf.y.mean())  # the start is already optimal, so the step is 0
 
 
+def boosted_twin(x, y, rounds, rate, depth, l2=1.0, bins=64):
+    """Means of trees grown node by node on binned columns, without Spark."""
+    cuts = [np.unique([np.sort(c)[max(0, int(np.ceil(len(c) * k / bins)) - 1)] for k in range(1, bins)]) for c in x.T]
+    b = np.stack([np.searchsorted(c, v) for c, v in zip(cuts, x.T)], axis=1)
+    score = np.full(len(y), np.log(y.mean()))
+
+    def grow(rows, level, g, h):
+        best = (1e-9, None)
+        whole = g[rows].sum() ** 2 / (h[rows].sum() + l2)
+        for j in range(x.shape[1]) if level < depth else ():
+            for s in range(len(cuts[j])):
+                left = rows[b[rows, j] <= s]
+                right = rows[b[rows, j] > s]
+                if h[left].sum() < 1 or h[right].sum() < 1:
+                    continue
+                gain = g[left].sum() ** 2 / (h[left].sum() + l2) + g[right].sum() ** 2 / (h[right].sum() + l2) - whole
+                if gain > best[0] + 1e-12:
+                    best = (gain, (left, right))
+        if best[1] is None:
+            return [(rows, -g[rows].sum() / (h[rows].sum() + l2))]
+        return [leaf for part in best[1] for leaf in grow(part, level + 1, g, h)]
+
+    for _ in range(rounds):
+        mu = np.exp(score)
+        for rows, value in grow(np.arange(len(y)), 0, mu - y, mu):
+            score[rows] += rate * value
+    return np.exp(score)
+
+
+@pytest.mark.parametrize("rows", [100_000, 60])
+def test_boosted_trees_equal_the_twin(data, monkeypatch, rows):
+    """In one block and in several, whose histograms are added up."""
+    pdf, df = data
+    monkeypatch.setattr(boosting, "ROWS", rows)
+    monkeypatch.setattr(boosting, "STORE_EVERY", 3)
+    model = boosting.fit_boosted_counts(df, ["x1", "x2"], "y", rounds=8, rate=0.3, depth=3)
+    got = model.predict(df).orderBy("ward", "i").toPandas()
+    p = pdf.sort_values(["ward", "i"])
+    assert got.y_pred.to_numpy() == pytest.approx(boosted_twin(p[["x1", "x2"]].to_numpy(), p.y.to_numpy(float), 8, 0.3, 3), rel=1e-9)
+
+
+def test_models_grown_together_equal_those_grown_alone(data):
+    _, df = data
+    folds = F.filter(F.array(F.lit(0), F.lit(1), F.lit(2)), lambda k: k != F.col("i") % 3)
+    options = {"rounds": 4, "rate": 0.3, "depth": 3, "row_share": 0.7, "column_share": 0.5, "key": ["ward", "i"]}
+    together = boosting.fit_many(df, ["x1", "x2"], "y", folds, 3, **options)
+    for k, model in enumerate(together):
+        rows = df.where(F.col("i") % 3 != k)
+        own = dict(zip(("a", "b"), (model, boosting.fit_many(df, ["x1", "x2"], "y", F.when(F.col("i") % 3 != k, F.array(F.lit(0))).otherwise(F.array()), 1, **options)[0])))
+        a, b = (m.predict(rows).orderBy("ward", "i").toPandas().y_pred.to_numpy() for m in own.values())
+        assert a == pytest.approx(b)
+    scored = boosting.predict_each(together, df, F.col("i") % 3).orderBy("ward", "i").toPandas()
+    alone = together[1].predict(df.where("i % 3 = 1")).orderBy("ward", "i").toPandas()
+    assert scored[scored.i % 3 == 1].y_pred.to_numpy() == pytest.approx(alone.y_pred.to_numpy())
+
+
+def test_boosting_takes_missing_values_and_empty_models(spark):
+    rows = [(float("nan") if i % 4 == 0 else float(i), None if i % 9 == 0 else float(i % 3 + (i % 4 == 0) * 5)) for i in range(90)]
+    df = spark.createDataFrame(rows, "x double, y double")
+    none, some = boosting.fit_many(df, ["x"], "y", F.array(F.lit(1)), 2, rounds=20, rate=0.3, depth=2)
+    got = some.predict(df).toPandas()
+    assert got[got.x.isna()].y_pred.mean() > 4 > got[~got.x.isna()].y_pred.mean()
+    assert none.predict(df).toPandas().y_pred.max() == pytest.approx(0, abs=1e-6)
+
+
 def test_rolling_cv_records_errors(spark):
     rows = [(w, dt.date(2024, 1, 1) + dt.timedelta(weeks=i), float((i * 7 + len(w)) % 5), float(i)) for w in ("a", "bb") for i in range(40)]
     df = spark.createDataFrame(rows, "ward string, week date, y double, x double")
@@ -243,50 +308,48 @@ def test_numeric_matrix(spark):
     assert [tuple(r) for r in numeric_matrix(df, ["a", "b", "c"]).collect()] == [(1.0, 0.0, 0.0), (0.0, 0.0, 2.0)]
 
 
-def test_registered_models_do_the_whole_job(spark, data, monkeypatch):
-    """Rounds of the library, every model and fold step, the full grid; the fits themselves are stubs."""
+def test_registered_searches_take_the_full_grid(spark, data, monkeypatch):
     from frostline.catalog import models as queries
 
     class Done(Exception):
         pass
 
-    frame = data[1].select("ward", F.col("y").alias("Y"), F.lit("train").alias("split"), F.expr("date_add(date'2020-01-01', cast(i as int))").alias("date"))
-    weekly = frame.select("ward", F.col("Y").alias("y"), "split", F.col("date").alias("week"))
     seen = []
-    monkeypatch.setattr(queries, "split_features", lambda *_: frame)
-    monkeypatch.setattr(queries, "weekly_split", lambda *_: (weekly, []))
-    monkeypatch.setattr(queries, "sweep_input", lambda *_: frame)
-
-    def caught(target, name, keep):
-        def record(*args, **options):
-            seen.append(keep(args, options))
-            raise Done
-        monkeypatch.setattr(target, name, record)
-
-    caught(boosting, "fit_boosted_counts", lambda a, o: o.get("rounds", 300))
-    caught(reg, "fit_boosted_counts", lambda a, o: o.get("rounds", 300))
-    for f in (queries.m12, queries.m13):
-        with pytest.raises(Done):
-            f(spark, None)
-    assert seen == [300, 300]
-    seen.clear()
-    caught(reg, "rolling_cv", lambda a, o: (a[3].select("fold").distinct().count(), {m: p.get("rounds", 300) for m, p in a[4].items()}))
-    with pytest.raises(Done):
-        queries.m17(spark, None)
-    assert seen == [(len(range(24, 150 - 8 + 1, 4)), {"poisson": 300, "negbin_fixed": 300, "boosted": 300})]
-    seen.clear()
-    caught(sweep, "run_grid", lambda a, o: (len(a), o))
+
+    def record(*args, **options):
+        seen.append((len(args), options))
+        raise Done
+
+    monkeypatch.setattr(queries, "sweep_input", lambda *_: data[1])
+    monkeypatch.setattr(sweep, "run_grid", record)
     for f in (queries.p6, queries.p8):
         with pytest.raises(Done):
             f(spark, None)
     assert seen == [(1, {}), (1, {})]  # no grid but the full one
-    seen.clear()
-    scores = spark.createDataFrame([("a", 0, 1.0, 1.0, 1.0)], "ward string, fold int, mae double, rmse double, poisson_deviance double")
-    monkeypatch.setattr(reg, "cross_val", lambda *a, **o: seen.append(a[3]) or scores)
-    assert {r["model"] for r in queries.m15(spark, None).collect()} == set(seen) == set(reg.MODELS)
-    seen.clear()
-    mean = reg.fit_mean
-    monkeypatch.setattr(reg, "fit", lambda name, *a, **o: seen.append(name) or mean(*a, **o))
-    monkeypatch.setattr(queries.mt, "metrics", lambda *a: scores)
-    queries.m16(spark, None)
-    assert set(seen) == set(reg.MODELS)
+
+
+@pytest.mark.parametrize("name", ["m12_poisson_gbt", "m13_importances", "m15_kfold_cv", "m16_train_eval", "m17_rolling_cv"])
+def test_registered_model_queries_run_whole(spark, monkeypatch, sf_dir, name):
+    """Every model, area and fold on the given tables; only the rounds are fewer here, to save time."""
+    from frostline.catalog import models as queries
+    from frostline.catalog.registry import QUERIES
+
+    fit_many = boosting.fit_many
+    rounds = []
+
+    def fewer(*args, **options):
+        rounds.append(options.pop("rounds", 300))
+        return fit_many(*args, rounds=6, **options)
+
+    monkeypatch.setattr(boosting, "fit_many", fewer)
+    monkeypatch.setattr(reg, "fit_many", fewer)
+    got = QUERIES[name](spark, sf_dir).toPandas()
+    assert set(rounds) == {300}
+    if name in ("m15_kfold_cv", "m16_train_eval"):
+        assert set(got.model) == set(reg.MODELS) and got.groupby("model").size().nunique() == 1
+        assert np.isfinite(got[got.model != "poisson"].select_dtypes("number")).to_numpy().all()
+    if name == "m17_rolling_cv":
+        assert set(got.model) == {"poisson", "negbin_fixed", "boosted"} and got.fold.nunique() == got.groupby("model").size().max()
+        assert (got[got.model == "boosted"].error == "").all()
+    if name == "m13_importances":
+        assert got.importance.sum() == pytest.approx(1, abs=1e-4) and len(got) == len(queries.weekly_split(spark, sf_dir)[1])
