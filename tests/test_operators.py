@@ -107,9 +107,25 @@ def test_quantiles_ignore_nan_and_outliers_move_no_cut(spark):
     got = aggregate(far, [], {}, {"q": (F.col("v"), 0.5), "r": (F.col("v"), 0.99)})
     values = [1e12 if i == 7 else float(i) for i in range(20_000)]
     assert (got.first()["q"], got.first()["r"]) == (pytest.approx(np.quantile(values, 0.5)), pytest.approx(np.quantile(values, 0.99)))
-    # what the last, sorted step reads is a small part of the distinct values
-    cuts = far.agg(F.percentile_approx("v", [i / quantiles.PARTS for i in range(quantiles.PARTS + 1)], quantiles.ACCURACY).alias("c")).first()["c"]
-    assert max(sum(a < v <= b for v in values) for a, b in zip(cuts, cuts[1:])) < 1.5 * 20_000 / quantiles.PARTS
+
+
+@pytest.mark.parametrize("fit, parts", [(500_000, 64), (40, 4), (3, 64), (1, 2)])
+def test_quantiles_by_recursive_selection(spark, monkeypatch, fit, parts):
+    """However few values fit a task, the result is exact and no sorted part holds more."""
+    monkeypatch.setattr(quantiles, "FIT", fit)
+    monkeypatch.setattr(quantiles, "PARTS", parts)
+    rnd = random.Random(fit)
+    rows = [(g, rnd.choice([rnd.gauss(0, 1), 1e12, -1.5, float(rnd.randint(0, 30))]), rnd.random()) for g in ("a", None, "c") for _ in range(150)]
+    df = spark.createDataFrame([*rows, ("none", None, 0.5)], "k string, v double, part double")
+    wanted = {f"{c}{int(100 * p)}": (F.col(c), p) for c in ("v", "part") for p in (0.0, 0.1, 0.5, 0.99, 1.0)}
+    got = {r["k"]: r for r in aggregate(df, ["k"], {}, wanted).collect()}
+    for g in ("a", None, "c"):
+        for name, (c, p) in wanted.items():
+            values = [r[1 if name.startswith("v") else 2] for r in rows if r[0] == g]
+            assert got[g][name] == pytest.approx(float(np.quantile(values, p)), rel=1e-12, abs=1e-12)
+    assert got["none"]["v50"] is None and got["none"]["part50"] == 0.5
+    whole = aggregate(df, [], {"n": F.count("*")}, {"q": (F.col("v"), 0.5)}).first()
+    assert (whole["n"], whole["q"]) == (451, pytest.approx(np.quantile([r[1] for r in rows], 0.5)))
 
 
 def test_null_predictions_do_not_count(spark):
