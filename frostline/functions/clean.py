@@ -68,16 +68,17 @@ def null_text_wards(c: Column) -> Column:
 def address_parts(addr: Column) -> dict[str, Column]:
     """House number, street and unit; null where the address does not parse.
 
-    Matching text is rewritten to its groups, split on a control character; text that holds that
-    character itself, which cleaning removes, has it replaced by a space first.
+    One rewrite puts a control character in front of each group, and the text is split there; text that does not match stays
+    in one piece. Text that holds that character itself, which cleaning removes, has it replaced by a space first.
+    The pieces stand in the condition of every part, so they are worked out once for all three.
     """
     plain = F.translate(addr, "\u0001", " ")
-    parts = F.when(plain.rlike(ADDRESS_PATTERN), F.split(F.regexp_replace(plain, ADDRESS_PATTERN, "$1\u0001$2\u0001$3"), "\u0001"))
+    pieces = F.split(F.regexp_replace(plain, ADDRESS_PATTERN, "\u0001$1\u0001$2\u0001$3"), "\u0001")
 
     def group(i: int) -> Column:
-        return F.nullif(F.when(F.size(parts) == 3, parts[i]), F.lit(""))
+        return F.nullif(F.when(F.size(pieces) == 4, pieces[i]), F.lit(""))
 
-    return {"number": group(0), "street": group(1), "unit": group(2)}
+    return {"number": group(1), "street": group(2), "unit": group(3)}
 
 
 # --- predicates -------------------------------------------------------------
