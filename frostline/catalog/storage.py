@@ -8,10 +8,10 @@ from frostline.catalog.registry import query, rounded
 from frostline.catalog.requests import _ADDR, timed
 from frostline.catalog.roles import events_hourly, requests
 from frostline.functions import clean
-from frostline.models import linear, registry as reg
+from frostline.models import linear, metrics as mt, registry as reg
 from frostline.operators import rollups as ro
 from frostline.operators.topn import top_k
-from frostline.runtime import scratch_path
+from frostline.runtime import materialize, scratch_path
 from frostline.schema import DEFAULT_PARAMS
 from frostline.sources import sinks, weather as we
 
@@ -136,3 +136,121 @@ def m4_two(spark, sf):
         .withColumn("x", F.datediff("date", F.lit("1992-01-01").cast("date")) / 1000.0)
     )
     return rounded(linear.vif(d, ["x", "y"], "ward").withColumnRenamed("g", "ward"), 4)
+
+
+@query("s3_station_daily", """
+SELECT 38 + CAST(substr(ward, 6) AS INTEGER) / 10.0::DOUBLE AS latitude, -77.05::DOUBLE AS longitude, 'GMT' AS timezone, CAST(ts AS DATE) AS date,
+  round(sum(precipitation), 4) AS precip_mm, CAST(count(*) FILTER (WHERE precipitation > 0) AS DOUBLE) AS precip_hours, round(sum(snowfall), 4) AS snow_cm,
+  round(max(temperature_2m), 3) AS tmax_c, round(min(temperature_2m), 3) AS tmin_c, count(*) AS rh_mean
+FROM events_hourly GROUP BY ward, CAST(ts AS DATE)""", "events_hourly")
+def s3(spark, sf):
+    """Daily files of every station, written and read back with the station's columns."""
+    hourly, path = events_hourly(spark, sf), scratch_path(spark, "stations")
+    number = F.substring("ward", 6, 9).cast("int")
+    stations = hourly.select("ward").distinct().withColumns({
+        "latitude": F.lit(38) + number / 10, "longitude": F.lit(-77.05), "elevation": F.lit(54.0), "utc_offset_seconds": F.lit(0), "timezone": F.lit("GMT"), "timezone_abbreviation": F.lit("GMT")})
+    daily = hourly.groupBy("ward", F.to_date("ts").alias("date")).agg(
+        F.round(F.sum("precipitation"), 4).alias("precip_mm"), F.count_if(F.col("precipitation") > 0).cast("double").alias("precip_hours"),
+        F.round(F.sum("snowfall"), 4).alias("snow_cm"), F.round(F.max("temperature_2m"), 3).alias("tmax_c"), F.round(F.min("temperature_2m"), 3).alias("tmin_c"), F.count("*").alias("rh_mean"))
+    sinks.save_station_files(daily, stations, path)
+    return rounded(we.read_station_daily(spark, path).select(
+        "latitude", "longitude", "timezone", "date", "precip_mm", "precip_hours", "snow_cm", "tmax_c", "tmin_c", "rh_mean"), 4)
+
+
+@query("s4_station_dimension", """
+SELECT e.ward, label, variable, count(*) AS hours, round(sum(temperature_2m), 6) AS temperature FROM events_hourly e
+LEFT JOIN (SELECT ward, 'station ' || ward AS label, min(CAST(ts AS DATE)) + CAST(substr(ward, 6) AS INTEGER) AS first_day,
+    min(CAST(ts AS DATE)) + 20 + CAST(substr(ward, 6) AS INTEGER) AS last_day, unnest(['temperature_2m', 'precipitation']) AS variable
+  FROM events_hourly GROUP BY ward) r ON r.ward = e.ward AND CAST(ts AS DATE) BETWEEN first_day AND last_day
+GROUP BY e.ward, label, variable""", "events_hourly")
+def s4(spark, sf):
+    """Provenance records as nested JSON, read back and joined to the hours of their span."""
+    hourly, path = events_hourly(spark, sf), scratch_path(spark, "records")
+    number, first = F.substring("ward", 6, 9).cast("int"), F.min(F.to_date("ts"))
+    records = hourly.groupBy("ward").agg(first.alias("first")).select(
+        "ward", F.concat(F.lit("station "), "ward").alias("label"), F.date_add("first", number).cast("string").alias("start_date"),
+        F.date_add("first", 20 + number).cast("string").alias("end_date"), F.array(F.lit("temperature_2m"), F.lit("precipitation")).alias("variables"))
+    sinks.save_metadata(records, path)
+    found = we.with_station_records(hourly, we.read_metadata(spark, path))
+    return rounded(found.groupBy("ward", "label", "variable").agg(F.count("*").alias("hours"), F.sum("temperature_2m").alias("temperature")))
+
+
+@query("s6_type_feature_file", """
+SELECT service, CAST(count(*) AS DOUBLE) AS n_requests, round(avg(response_hours), 4) AS mean_rt, CAST(count(response_hours) AS DOUBLE) AS n_requests_2
+FROM timed WHERE service IS NOT NULL GROUP BY service""", "timed")
+def s6(spark, sf):
+    """A feature file whose counts stand under one name twice."""
+    path = scratch_path(spark, "type-features")
+    found = timed(spark, sf, "service").where("service IS NOT NULL").groupBy("service").agg(
+        F.count("*").alias("n_requests1"), F.avg("response_hours").alias("mean_rt"), F.count("response_hours").alias("n_requests3"))
+    found.write.option("header", True).csv(path)
+    return rounded(we.read_type_features(spark, path), 4)
+
+
+@query("s11_metric_rerun", """
+SELECT 'first' AS run, 'mean' AS model, stage, count(*) AS n, round(avg(abs(response_hours - m)), 4) AS mae FROM
+  (SELECT response_hours, avg(response_hours) OVER () AS m FROM timed WHERE response_hours IS NOT NULL) t
+CROSS JOIN (VALUES ('train'), ('evaluate')) s(stage) GROUP BY stage""", "timed")
+def s11_rerun(spark, sf):
+    """A run recorded twice reads back once."""
+    rows = timed(spark, sf).where("response_hours IS NOT NULL").select("response_hours")
+    scored = reg.fit("mean", rows, [], "response_hours", F.lit("all")).predict(rows).agg(
+        F.count("*").alias("n"), F.avg(F.abs(F.col("response_hours") - F.greatest("y_pred", F.lit(0.0)))).alias("mae"))
+    path = scratch_path(spark, "runs")
+    for stage in ("train", "evaluate", "train", "evaluate"):
+        sinks.record_metrics(scored, path, "first", "mean", stage)
+    return rounded(spark.read.parquet(path).select("run", "model", "stage", "n", "mae"), 4)
+
+
+# Predictions of fitted models: the ward's mean, and its ridge on the day number, learned on all but the last 360 days.
+_FITTED = f"""SELECT model, split, abs(y - yp) AS e FROM (
+  SELECT d.ward, d.y, d.split, m.model, CASE WHEN m.model = 'mean' THEN f.my ELSE greatest(f.my - f.mx * f.sxy / (f.sxx + 1) + d.x * f.sxy / (f.sxx + 1), 0) END AS yp
+  FROM (SELECT *, CASE WHEN date <= last - 360 THEN 'train' WHEN date <= last - 180 THEN 'valid' ELSE 'test' END AS split
+        FROM (SELECT *, max(date) OVER () AS last FROM ({_DAYS}) a) b) d
+  JOIN (SELECT ward, avg(x) AS mx, avg(y) AS my, sum(x * y) - count(*) * avg(x) * avg(y) AS sxy, sum(x * x) - count(*) * avg(x) * avg(x) AS sxx
+        FROM (SELECT *, max(date) OVER () AS last FROM ({_DAYS}) a) b WHERE date <= last - 360 GROUP BY ward) f ON f.ward = d.ward
+  CROSS JOIN (VALUES ('mean'), ('ridge')) m(model)) p"""
+
+
+def fitted_predictions(spark, sf):
+    """(model, split, ward, date, y_true, y_pred) of models fitted on the training days, stored once for every reader."""
+    day = F.to_date("add_ts")
+    d = (
+        requests(spark, sf, "ward").where("ward IS NOT NULL AND add_ts IS NOT NULL").groupBy("ward", day.alias("date")).agg(F.count("*").cast("double").alias("y"))
+        .withColumn("x", F.datediff("date", F.lit("1992-01-01").cast("date")) / 1000.0)
+    )
+    left = F.datediff(d.agg(F.max("date")).scalar(), F.col("date"))
+    d = materialize(d.withColumn("split", F.when(left >= 360, "train").when(left >= 180, "valid").otherwise("test")), "days")
+    out = None
+    for name, features in (("mean", []), ("ridge", ["x"])):
+        fitted = reg.fit(name, d.where("split = 'train'"), features, "y", "ward")
+        p = fitted.predict(d).select(F.lit(name).alias("model"), "split", "ward", "date", F.col("y").alias("y_true"), "y_pred").where("y_pred IS NOT NULL")
+        out = p if out is None else out.unionByName(p)
+    return materialize(out, "predictions")
+
+
+@query("m7_fitted_models", f"""
+SELECT model, split, count(*) AS n, round(avg(e), 6) AS mae, round(sqrt(avg(e * e)), 6) AS rmse, CASE model WHEN 'mean' THEN 1 ELSE 2 END::BIGINT AS model_order,
+  CASE split WHEN 'train' THEN 1 WHEN 'valid' THEN 2 ELSE 3 END::BIGINT AS split_order FROM ({_FITTED}) q GROUP BY model, split""", "requests")
+def m7_fitted(spark, sf):
+    return rounded(mt.compare_models(fitted_predictions(spark, sf), ["mean", "ridge"], ["train", "valid", "test"]))
+
+
+@query("a23_model_metrics", f"""
+SELECT split, round(avg(e) FILTER (WHERE model = 'mean'), 6) AS mean_mae, round(sqrt(avg(e * e) FILTER (WHERE model = 'mean')), 6) AS mean_rmse,
+  round(avg(e) FILTER (WHERE model = 'ridge'), 6) AS ridge_mae, round(sqrt(avg(e * e) FILTER (WHERE model = 'ridge')), 6) AS ridge_rmse FROM ({_FITTED}) q GROUP BY split""", "requests")
+def a23_models(spark, sf):
+    """Model by metric, a row per split."""
+    m = mt.metrics(fitted_predictions(spark, sf), ["model", "split"])
+    return rounded(m.groupBy("split").pivot("model", ["mean", "ridge"]).agg(F.max("mae").alias("mae"), F.max("rmse").alias("rmse")))
+
+
+@query("a23_split_quarter", """
+SELECT split, count(*) FILTER (WHERE q = 1) AS q1, count(*) FILTER (WHERE q = 2) AS q2, count(*) FILTER (WHERE q = 3) AS q3, count(*) FILTER (WHERE q = 4) AS q4 FROM (
+  SELECT date_part('quarter', add_ts) AS q, CASE WHEN CAST(add_ts AS DATE) <= last - 360 THEN 'train' WHEN CAST(add_ts AS DATE) <= last - 180 THEN 'valid' ELSE 'test' END AS split
+  FROM (SELECT add_ts, max(CAST(add_ts AS DATE)) OVER () AS last FROM requests WHERE add_ts IS NOT NULL) a) b GROUP BY split""", "requests")
+def a23_quarter(spark, sf):
+    r = requests(spark, sf).where("add_ts IS NOT NULL").select("add_ts")
+    left = F.datediff(r.agg(F.max(F.to_date("add_ts"))).scalar(), F.to_date("add_ts"))
+    d = r.select(F.when(left >= 360, "train").when(left >= 180, "valid").otherwise("test").alias("split"), F.concat(F.lit("q"), F.quarter("add_ts").cast("string")).alias("q"))
+    return ro.zero_filled_pivot(d, "split", "q", ["q1", "q2", "q3", "q4"])

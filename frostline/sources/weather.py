@@ -50,3 +50,15 @@ def read_type_features(spark: SparkSession, path: str) -> DataFrame:
         names.append(base if seen[base] == 1 else f"{base}_{seen[base]}")
     d = df.toDF(*names)
     return d.select(names[0], *[F.col(c).try_cast("double").alias(c) for c in names[1:]])
+
+
+def with_station_records(hourly: DataFrame, records: DataFrame, area: str = "ward") -> DataFrame:
+    """Hours with the records of their station that are valid on their day, a row per variable that such a record names.
+
+    A record holds from its start to its end date, both included; hours outside every span keep nulls.
+    """
+    valid = records.select(
+        F.col(area).alias("_area"), F.to_date("start_date").alias("_from"), F.to_date("end_date").alias("_to"), "label", "description",
+        "latitude", "longitude", F.explode_outer("variables").alias("variable"))
+    day = F.to_date("ts")
+    return hourly.join(valid, (F.col(area) == F.col("_area")) & (day >= F.col("_from")) & (day <= F.col("_to")), "left").drop("_area", "_from", "_to")
