@@ -122,7 +122,7 @@ def _solve(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _log_linear_sums(v: np.ndarray) -> np.ndarray:
-    """X'WX, X'Wz, deviance and n of rows (features, target, linear predictor, alpha)."""
+    """X'WX (upper triangle), X'Wz, deviance and n of rows (features, target, linear predictor, alpha)."""
     x, y, a = np.column_stack([np.ones(len(v)), v[:, :-3]]), v[:, -3], v[0, -1]
     eta = np.clip(v[:, -2], -30, 30)  # inside the iteration only; scoring does not cut
     mu = np.exp(eta)
@@ -130,7 +130,7 @@ def _log_linear_sums(v: np.ndarray) -> np.ndarray:
     with np.errstate(divide="ignore", invalid="ignore"):
         log_term = np.where(y > 0, y * np.log(y / mu), 0.0)
         dev = log_term - ((y + 1 / a) * np.log((1 + a * y) / (1 + a * mu)) if a > 0 else y - mu)
-    return np.concatenate([(xw.T @ x).ravel(), xw.T @ (eta + (y - mu) / mu), [2 * dev.sum(), len(y)]])
+    return np.concatenate([(xw.T @ x)[np.triu_indices(x.shape[1])], xw.T @ (eta + (y - mu) / mu), [2 * dev.sum(), len(y)]])
 
 
 def fit_log_linear(df: DataFrame, features: list[str], target: str, group: str | Column, alpha: float = 0.0,
@@ -161,7 +161,9 @@ def fit_log_linear(df: DataFrame, features: list[str], target: str, group: str |
         else:
             last = beta
             try:
-                new = _solve(s[:k * k].reshape(k, k), s[k * k:k * k + k])  # if done, this step is the last
+                whole = np.zeros((k, k))
+                whole[np.triu_indices(k)] = s[:-k - 2]
+                new = _solve(whole + np.triu(whole, 1).T, s[-k - 2:-2])  # if done, this step is the last
             except np.linalg.LinAlgError:  # sums that are not finite: this group has no solution
                 new, done = np.full(k, np.nan), True
         return pd.DataFrame({"g": [r["g"]], "terms": [list(new)], "old": [list(last)], "dev": [dev], "active": [not done], "alpha": [r["alpha"]]})
@@ -176,6 +178,16 @@ def fit_log_linear(df: DataFrame, features: list[str], target: str, group: str |
     return state.select("g", "terms", "alpha")
 
 
+def fit_log_linear_many(df: DataFrame, features: list[str], target: str, group: Column, alphas: dict[str, float]) -> DataFrame:
+    """(g, terms, alpha) with g = name|group: models that differ in ``alpha`` alone, of all groups, in the same passes."""
+    keyed = df.withColumn("_model", F.explode(F.array(*[F.lit(n) for n in alphas]))).withColumn("_key", F.concat_ws("|", "_model", group.cast("string")))
+    alpha = reduce(lambda a, n: a.when(F.col("g").startswith(f"{n}|"), F.lit(float(alphas[n]))), alphas, F)
+    rest = F.array_repeat(F.lit(0.0), len(features))
+    start = means(keyed, target, "_key").select(
+        "g", F.concat(F.array(F.log(F.greatest(F.col("terms")[0], F.lit(1e-6)))), rest).alias("terms"), alpha.alias("alpha"))
+    return fit_log_linear(keyed, features, target, "_key", start=start)
+
+
 def _dispersion_loglik(half: float, points: int) -> Callable[[np.ndarray], np.ndarray]:
     """Log-likelihood at ``points`` dispersions around each group's (log alpha in the alpha column)."""
     def fn(v):

@@ -96,6 +96,7 @@ def fit_boosted(df, features, target, group, **options) -> Fitted:
 MODELS = {"mean": fit_mean, "ridge": fit_ridge, "poisson": fit_poisson, "negbin_fixed": fit_negbin_fixed,
           "negbin": fit_negbin, "boosted": fit_boosted}
 POOLED = {"boosted"}
+FIXED_ALPHA = {"poisson", "negbin_fixed"}  # one fit for any number of these
 
 
 def fit(name: str, df: DataFrame, features: list[str], target: str, group: Column, **options) -> Fitted:
@@ -154,8 +155,15 @@ def rolling_cv(df: DataFrame, features: list[str], target: str, folds: DataFrame
           for r in ("train", "valid") for n, f in (("start", F.min), ("end", F.max))],
         F.count_if(F.col("role") == "train").alias("train_rows"), F.count_if(F.col("role") == "valid").alias("valid_rows"))
     ids = [r[0] for r in folds.select("fold").distinct().orderBy("fold").collect()]  # bounded by the calendar
+    alphas = {name: 0.0 if name == "poisson" else options.get("alpha", 1.0) for name, options in models.items() if name in FIXED_ALPHA}
+    together: list[Fitted] = []
 
     def scored(name: str, options: dict) -> DataFrame:
+        if name in alphas:
+            if not together:
+                found = linear.fit_log_linear_many(train, features, target, F.col("fold"), alphas)
+                together.append(_linear("log_linear", features, found, F.col("_key"), "log"))
+            return together[0].predict(valid.withColumn("_key", F.concat_ws("|", F.lit(name), F.col("fold").cast("string"))))
         if name not in POOLED:
             return fit(name, train, features, target, F.col("fold"), **options).predict(valid)
         number = (F.array_position(F.array(*[F.lit(i) for i in ids]), F.col("fold")) - 1).cast("int")
