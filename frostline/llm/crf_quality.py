@@ -10,6 +10,7 @@ the labels by a logistic curve fitted on the same sample.
 from __future__ import annotations
 
 import operator
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,6 +26,7 @@ from frostline.llm.tokens import forget
 
 FIT_DOCUMENTS = 6_000    # labelled documents that the field is fitted on, at most
 CHAIN = 64               # lines of a chain while fitting; a longer document gives several chains
+FIT_CHAINS = 4           # chains of one document that the field is fitted on, at most; scores take every line
 ROUNDS = 150
 SHRINK = 1e-3
 THRESHOLD = 0.3
@@ -158,14 +160,27 @@ def fit_field(chains: list[np.ndarray], labels: np.ndarray, rounds: int = ROUNDS
     return LineField(mean, spread, theta[:-4], theta[-4:].reshape(2, 2), np.array([1.0, 0.0]))
 
 
+def sampled_lines(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Evidence and lengths of a document's lines; of more than ``FIT_CHAINS`` chains those with the least hashes, in order."""
+    x, size = document_features(text)
+    chains = -(-len(x) // CHAIN)
+    if chains <= FIT_CHAINS:
+        return x, size
+    own = zlib.crc32(text.encode("utf-8", "surrogatepass"))
+    chosen = sorted(sorted(range(chains), key=lambda k: (zlib.crc32(b"%d:%d" % (own, k)), k))[:FIT_CHAINS])
+    rows = np.concatenate([np.arange(k * CHAIN, min((k + 1) * CHAIN, len(x))) for k in chosen])
+    return x[rows], size[rows]
+
+
 def learn(docs: DataFrame, labels: DataFrame, may_learn: Column, bound: int = FIT_DOCUMENTS) -> LineField | None:
     """The field and its curve; None where the sample does not hold both labels.
 
-    Chains of the sample come to the driver as numbers: at most ``bound`` documents' lines."""
+    Chains of the sample come to the driver as numbers: at most ``bound`` documents, ``FIT_CHAINS`` chains of each, whatever
+    their length."""
     def chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                x, size = document_features(batch.column(1)[i].as_py())
+                x, size = sampled_lines(batch.column(1)[i].as_py())
                 yield pa.RecordBatch.from_arrays([
                     pa.array([batch.column(0)[i].as_py()], pa.int32()), pa.array([len(x)], pa.int32()),
                     pa.array([x.astype("<f4").tobytes()], pa.binary()), pa.array([size.astype("<f4").tobytes()], pa.binary())],
