@@ -2,9 +2,13 @@
 
 The pages of a host are merged into one style tree: a node is a path of element styles (tag, id and
 classes, digits levelled). A branch is important if its presentation is that of an article, and if its
-contents differ from page to page: menus, notices and adverts repeat, articles do not. Presentation
-weighs by fixed classes of tags and names: article text is kept as it is, known page furniture goes, and
-for all other branches the normalised entropy of their contents over the host's pages decides.
+contents differ from page to page: menus, notices and adverts repeat, articles do not.
+
+Presentation weighs by fixed classes of tags and names. Elements that are page furniture go everywhere, and so do, inside an
+article, those of which a whole class name says so (``comments``, ``ad-banner``). A name that merely holds such a
+word (``related-work``, ``notice-period``) is evidence only: inside an article its branch goes if the contents repeat as well.
+For all other branches, inside articles or not, the normalised entropy of their contents over the host's pages
+decides; headings of an article, which may well be the same on every page, stay. A page that would lose all its text keeps it.
 
 Each distinct page of a host counts once, whatever its copies. Entropies are sums over (host, path, content)
 counts, combined before the shuffle, so a host with a third of all pages is no task of its own. Only low branches
@@ -51,6 +55,10 @@ NAMES = {
     "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget",
 }
 
+# Words that say nothing about an element's part beside one of those names.
+NEUTRAL = {"area", "bar", "block", "body", "bottom", "box", "container", "content", "inner", "item", "items", "js", "left", "link", "links", "list", "outer", "page", "right", "site", "top", "wrap", "wrapper"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "title", "hgroup", "header"}
+
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\s+|/|[^\s\"'>/=]+|=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"']*)|[\"'])*)(?:>|\Z)", re.S)
 NAMED = re.compile(r"\b(id|class|role|hidden|style|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.I)
@@ -58,26 +66,37 @@ DIGITS = re.compile(r"\d+")
 WORDS = re.compile(r"[a-z]+")
 
 
-def style_of(tag: str, attributes: str) -> tuple[str, bool]:
-    """The element's style, and whether it is page furniture."""
+def named(names: str) -> int:
+    """What id, class and role say: 2 if a whole name is that of page furniture, 1 if one holds such a word, 0 otherwise."""
+    found = 0
+    for name in names.split():
+        words = set(WORDS.findall(name)) - NEUTRAL
+        if not NAMES.isdisjoint(words):
+            found = max(found, 2 if words <= NAMES else 1)
+    return found
+
+
+def style_of(tag: str, attributes: str) -> tuple[str, int]:
+    """The element's style, and the evidence that it is page furniture: 3 by its tag or because it is hidden, else by its names."""
     if not attributes or attributes.isspace():
-        return tag, tag in FURNITURE
+        return tag, 3 if tag in FURNITURE else 0
     found = {m[1].lower(): (m[2] or m[3] or m[4] or "") for m in NAMED.finditer(attributes)}
     names = " ".join(found.get(k, "") for k in ("id", "class", "role")).lower()
-    furniture = tag in FURNITURE or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
-    if not furniture and names and tag not in MAIN | {"html", "body"}:
-        furniture = not NAMES.isdisjoint(WORDS.findall(names))
+    hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
+    evidence = 3 if tag in FURNITURE or hidden else 0
+    if not evidence and names and tag not in MAIN | {"html", "body"}:
+        evidence = named(names)
     if tag == "article" and {"comment", "reply"} & set(WORDS.findall(names)):
-        furniture = True
+        evidence = 3
     label = DIGITS.sub("0", ".".join(names.split()))
-    return (f"{tag}.{label}" if label else tag), furniture
+    return (f"{tag}.{label}" if label else tag), evidence
 
 
 def blocks(page: str) -> Iterator[tuple[str, str, str]]:
     """(kind, path, text) of each block of text in page order.
 
-    kind: "article" or "main" below such an element, "other" elsewhere, "furniture" below page
-    furniture. White space inside a block is one space; character references are decoded.
+    kind: "article" or "main" below such an element, "doubtful" below one inside an article whose name holds a word of page
+    furniture, "furniture" below page furniture, "other" elsewhere. White space inside a block is one space; character references are decoded.
     """
     stack: list[tuple[str, str, str, str]] = [("", "", "other", "")]  # tag, path, kind, element that opened the kind
     held: list[str] = []
@@ -124,12 +143,15 @@ def blocks(page: str) -> Iterator[tuple[str, str, str]]:
             close(CLOSES[tag], True)
         elif stack[-1][0] == "p":
             stack.pop()
-        style, furniture = style_of(tag, found[3])
+        style, evidence = style_of(tag, found[3])
         _, path, kind, _ = stack[-1]
         if kind != "furniture":
             # a header belongs to the page unless it stands in an article
-            if furniture or tag == "header" and kind == "other":
+            inside = kind in ("article", "doubtful")
+            if evidence > 1 or evidence and not inside or tag == "header" and kind == "other":
                 kind = "furniture"
+            elif evidence:
+                kind = "doubtful"
             elif tag == "article" or tag == "main" and kind != "article":
                 kind = tag
         stack.append((tag, f"{path}/{style}", kind, tag))
@@ -137,12 +159,14 @@ def blocks(page: str) -> Iterator[tuple[str, str, str]]:
 
 
 def main_text(page: str, low: set[str]) -> str:
-    """Text of the article, else of the main part, else of the branches that are not low, else of these."""
-    kept: dict[str, list[str]] = {"article": [], "main": [], "other": [], "low": []}
+    """Text of the article, else of the main part, else of all other branches; without those that are low, unless nothing else is left."""
+    parts: dict[str, list[tuple[bool, str]]] = {"article": [], "main": [], "other": []}
     for kind, path, text in blocks(page):
         if kind != "furniture":
-            kept["low" if kind == "other" and path in low else kind].append(text)
-    return " ".join(kept["article"] or kept["main"] or kept["other"] or kept["low"])
+            heading = kind == "article" and path.rsplit("/", 1)[-1].split(".")[0] in HEADINGS
+            parts["article" if kind == "doubtful" else kind].append((path in low and not heading, text))
+    found = parts["article"] or parts["main"] or parts["other"]
+    return " ".join([text for goes, text in found if not goes] or [text for _, text in found])
 
 
 def host(url: Column) -> Column:
@@ -185,8 +209,8 @@ def extract(pages: DataFrame, run: Run, low: float = LOW, least_pages: int = LEA
     """
     tree = run.store(style_tree(pages), "style-tree")
     lows = (
-        tree.filter((F.col("kind") == "other") & (F.col("importance") < low) & (F.col("pages") >= least_pages))
-        .groupBy("host").agg(F.collect_list("path").alias("low"))
+        tree.filter((F.col("kind") != "furniture") & (F.col("importance") < low) & (F.col("pages") >= least_pages))
+        .groupBy("host").agg(F.collect_set("path").alias("low"))
     )
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

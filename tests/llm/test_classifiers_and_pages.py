@@ -116,6 +116,17 @@ def test_logistic_finds_the_slope():
     assert abs(w[0] - 2) < 0.7 and abs(w[1] - 0.5) < 0.5
 
 
+def test_lines_of_a_very_long_document_are_sampled_in_whole_chains():
+    text = "\n".join(f"line {k} of many" for k in range(1_000))
+    x, size = crf_quality.sampled_lines(text)
+    every, lengths = crf_quality.document_features(text)
+    assert len(x) == len(size) <= crf_quality.FIT_CHAINS * crf_quality.CHAIN < len(every) == len(lengths)
+    again, _ = crf_quality.sampled_lines(text)
+    assert (x == again).all()
+    short = "\n".join(f"line {k}" for k in range(crf_quality.FIT_CHAINS * crf_quality.CHAIN))
+    assert len(crf_quality.sampled_lines(short)[0]) == crf_quality.FIT_CHAINS * crf_quality.CHAIN
+
+
 # Pages
 
 CASES = [
@@ -168,6 +179,33 @@ def test_copies_of_a_page_keep_their_text(spark, run_of):
     assert tree["again.example", "/html/body/div.text"] == 1 and tree["many.example", "/html/body/div.text"] == 5
 
 
+def test_names_inside_an_article_are_evidence_only():
+    """A word of furniture inside a name drops nothing alone; a whole name does, and outside an article both do."""
+    article = ("<article><h2 id='related-work'>Related work</h2><section class='search-methods'><p>How we searched</p></section>"
+               "<p id='notice-period'>Three months</p><p class='ad-banner'>no</p><div id=comments><p>no</p></div><p>End</p></article>")
+    assert style_tree.main_text(PAGE.replace("BODY", article), set()) == "Related work How we searched Three months End"
+    assert style_tree.main_text("<div class='related-posts'>no</div><div>yes</div>", set()) == "yes"
+    for name, want in (("ad", 2), ("site-footer", 2), ("cookie-notice", 2), ("related-work", 1), ("adder shared", 0), ("", 0)):
+        assert style_tree.named(name) == want
+
+
+def test_only_entropy_tells_text_from_furniture_inside_articles(spark, run_of):
+    """One host whose articles repeat a neutral promotion and a doubtful box, and keep doubtful names whose text differs."""
+    page = ("<html><body><article><h2>Background</h2><p>{0}</p><div class=x9>Subscribe now! Share this!</div>"
+            "<section class=search-methods>{1}</section><section class=search-tips>Try other words</section></article></body></html>")
+    texts = [(f"Paragraph number {'i' * k} of its own", f"Method {'v' * k}") for k in range(1, 9)]
+    rows = [(k, f"https://one.example/{k}", page.format(*t)) for k, t in enumerate(texts)]
+    rows += [(100, "https://other.example/", page.format("alone", "here"))]  # one page: nothing is known to repeat
+    deep = "<div>" * 3_000 + "deep" + "</div>" * 3_000
+    rows += [(200, "https://deep.example/", f"<article>{deep}</article>"), (201, "https://deep.example/b", "<article>" + "<p>word" * 20_000 + "</article>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r["page_id"]: r["text"] for r in style_tree.extract(pages, run_of("pages")).collect()}
+    for k, (text, method) in enumerate(texts):
+        assert got[k] == f"Background {text} {method}"
+    assert got[100] == "Background alone Subscribe now! Share this! here Try other words"
+    assert got[200] == "deep" and got[201] == " ".join(["word"] * 20_000)
+
+
 def test_pages_query_equals_sql(spark, sf_dir):
     duckdb.sql(f"CREATE OR REPLACE VIEW pages AS SELECT * FROM '{sf_dir}/pages.parquet'")
     want = sorted(duckdb.sql(catalog.ORACLE["op7_site_style_tree"]).fetchall())
@@ -186,9 +224,11 @@ def test_pipeline_stages_on_planted_rows(spark, sf_dir, make_docs):
     words = [f"Thing{k}" for k in range(60)]
     clean = "The " + " ".join(w.lower() for w in words) + " and so on."
     planted = make_docs([(900_001, clean), (900_002, clean), (900_003, clean.replace("thing30", "other")), (900_004, "A wholly different line of plain words, calm and clear."),
-                         (900_005, None), (None, clean), (None, clean)])
+                         (900_005, None), (900_005, None), (None, clean), (None, clean), (None, "No name, but words that no other text here has at all."),
+                         (900_006, clean.replace("thing12", "changed")), (900_006, "The second text under one number, which is nobody's copy.")])
     kept = stages["n-gram Jaccard join"](spark, planted, sf_dir)
-    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == [900_001, 900_004, 900_005, None]
+    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == [900_001, 900_004, 900_005, 900_006, None]
+    assert {r["text"][:10] for r in kept.collect() if r["doc_id"] in (900_006, None)} == {"The second", "No name, b"}
     good = stages["quality classifier"](spark, given, sf_dir)
     mild = stages["toxicity"](spark, given, sf_dir)
     assert good.columns == mild.columns == kept.columns == columns
