@@ -37,13 +37,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of near duplicates the document with the least doc_id.
 
-    Rows of one doc_id are one document, of which one row stays. Rows without a doc_id cannot be named
-    in a group: they stay, equal texts once.
+    A document is a doc_id with a text: of equal rows of both one stays, by a hash of the other columns; rows of one doc_id with
+    different texts are judged apart. A row without a doc_id comes after all named ones of its group. Texts without words are
+    near nothing but themselves.
     """
-    groups = jaccard.near_duplicates(docs, Run(spark, "near-duplicates"))
-    first = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("least")).distinct()
-    named = docs.join(first, docs["doc_id"].cast("long") == F.col("least"), "left_semi").dropDuplicates(["doc_id"])
-    return named.union(docs.filter(docs["doc_id"].isNull()).dropDuplicates(["text"]))
+    key, columns = f"document_{uuid.uuid4().hex}", [docs[c] for c in docs.columns]
+    keyed = docs.select(*columns, F.xxhash64(docs["doc_id"].cast("long"), docs["text"]).alias(key))
+    groups = jaccard.near_duplicates(keyed.select(F.col(key).alias("doc_id"), "text"), Run(spark, "near-duplicates"))
+    named = keyed.select(F.col(key).alias("key"), F.col("doc_id").cast("long").alias("id")).distinct()
+    least = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "key")).alias("least")
+    first = named.join(groups.select(F.col("doc_id").alias("key"), "component_id").distinct(), "key").groupBy("component_id").agg(least)
+    kept = keyed.join(first.select(F.col("least.key").alias(key)), key, "left_semi")
+    one = F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row")
+    return kept.groupBy(key).agg(one).select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
