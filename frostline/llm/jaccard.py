@@ -6,18 +6,22 @@ Jaccard distance is a metric, so documents can be joined by regions around pivot
 2. Single shingles are the first pivots: {s} is nearer to a set that holds s than to any other.
    A set of n shingles takes part in the regions of its n - ceil(t n) + m first shingles in one
    order of all shingles (rare ones first); a linked set can lack no more than n - ceil(t n) of them,
-   so both meet in m regions. That count is the window by which border sets are replicated. m is a tenth of n,
+   so both meet in m regions. That count is the window by which border sets are replicated. m is a sixth of n,
    so a set that shares fewer shingles than that with any others, such as one common passage, has no link
-   and leaves all its regions.
+   and leaves all its regions. Two sets that meet in m regions also meet in one of all but the last m - 1 that each has, in one
+   order of the regions: the smallest come first, and a set stays in that many. A passage of many documents is left first.
 3. Each region names its most central member as document pivot. Regions of one pivot form its
-   Voronoi cell, and every member that can be near enough by size is measured against it: whoever is within
-   1 - t is linked, and the members linked to one pivot need no comparison among themselves.
-4. Cells with members outside the pivot's component are joined again around a second pivot from among
-   those, and what is left of them is compared exactly in blocks: only members of different components whose
-   distances to the pivot differ by no more than 1 - t (triangle inequality) and whose sizes agree.
+   Voronoi cell; members that no other member's size allows to link with leave it.
+4. A cell that fits a task is joined there, exactly: members are compared with all others through their postings, but only those
+   of different components whose distances to the members compared so far differ by no more than 1 - t (triangle inequality).
+5. A larger cell is divided: several of its members become pivots, every member is measured against them and goes to its nearest
+   one's region, and also to any other that is farther by no more than 2 (1 - t), the window in which its partners can live.
+   Members that are linked to all they could link with leave first; small regions are joined, large ones divided again. A cell
+   whose regions would hold nearly all its pairs, as a crowd of near copies, is compared in blocks: only members of
+   different components, with the same bounds.
 
 No pair that could link escapes these steps, so the components are exact; links inside a component
-that one pivot already joins are not listed. Shingles are compared by 64-bit hashes.
+that is known already are not listed. Shingles are compared by 64-bit hashes.
 The order of shingles affects cost only: it comes from counts that every task takes over all of its
 shingles, of which the 2**18 highest are kept.
 """
@@ -42,10 +46,13 @@ SIMILAR = (75, 100)        # linked when 100 * common >= 75 * united
 FREQUENT = 1 << 18         # shingles whose frequency orders the regions
 SEEN_OFTEN = 3             # times within COUNT_OVER shingles of a task
 COUNT_OVER = 2_000_000
-MEETINGS = 10              # linked sets meet in one region for so many shingles
+MEETINGS = 6               # linked sets meet in one region for so many shingles
+FITS = 2048                # members of a cell that one task joins
+HOLDS = 8_000_000          # and shingles of its members in all: 64 MB
+PIVOTS = 8                 # pivots that divide a larger cell, and members against which distances are kept
+SHRINKS = 0.5              # a cell is divided if its regions together have less than this share of its pairs
 BLOCK = 256                # members of one side in a block comparison
-ROUNDS = 2                 # rounds around pivots before blocks
-WANTED_BITS = 1 << 25      # hashed ids of the documents whose sets are fetched: 4 MB
+MOST_BITS = 1 << 28        # hashed ids of the documents whose sets are fetched, 16 bits each and 32 MB at most
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -109,7 +116,7 @@ def class_of(shingles: np.ndarray) -> int:
 
 
 def prefix_size(n: int, similar: tuple[int, int] = SIMILAR) -> int:
-    """Regions of a set of n shingles: sets that link have at least a tenth of the smaller one's size in common."""
+    """Regions of a set of n shingles: sets that link have at least a sixth of the smaller one's size in common."""
     return n - -(-similar[0] * n // similar[1]) + max(1, n // MEETINGS)
 
 
@@ -185,18 +192,20 @@ def prefixes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], words: in
 
 
 def shared_regions(regions: DataFrame) -> DataFrame:
-    """(shingle, class, n, central) of regions with two members or more; others hold no pair."""
+    """(shingle, class, n, central, here) of regions with two members or more; others hold no pair. ``here`` orders the regions."""
     region = Window.partitionBy("shingle")
-    mixed = regions.select("*", F.min("class").over(region).alias("least"), F.max("class").over(region).alias("most"))
+    mixed = regions.select("*", F.min("class").over(region).alias("least"), F.max("class").over(region).alias("most"), F.count("*").over(region).alias("here"))
     return mixed.filter("least <> most").drop("least", "most").dropDuplicates(["shingle", "class"])
 
 
 def cells(shared: DataFrame, run: Run, similar: tuple[int, int]) -> DataFrame:
     """(pivot, pivot_n, class, n, central): members of each pivot's cell, the pivot itself left out.
 
-    Sets that meet others too seldom to link with any have left before the pivots are named."""
-    able = shared.groupBy("class", "n").agg(F.count("*").alias("met")).filter(F.col("met") >= meetings("n", similar))
-    kept = run.store(shared.join(able.select("class"), "class"), "able-regions")
+    Sets that meet others too seldom to link with any have left before the pivots are named, and every set all but its first regions."""
+    own = Window.partitionBy("class")
+    met = shared.withColumn("met", F.count("*").over(own)).withColumn("place", F.row_number().over(own.orderBy("here", "shingle")))
+    first = met.filter((F.col("met") >= meetings("n", similar)) & (F.col("place") <= F.col("met") - meetings("n", similar) + 1))
+    kept = run.store(first.select("shingle", "class", "n", "central"), "able-regions")
     pivots = kept.groupBy("shingle").agg(F.max(F.struct("central", "class", "n")).alias("pivot"))  # combined before the shuffle
     return (
         kept.join(pivots, "shingle").filter("class <> pivot.class")
@@ -208,16 +217,6 @@ def sizes_agree(a: str, b: str, similar: tuple[int, int]) -> Column:
     return F.lit(similar[1]) * F.least(a, b).cast("long") >= F.lit(similar[0]) * F.greatest(a, b).cast("long")
 
 
-def common(a: str, b: str) -> Column:
-    """Shingles that two stored sets share."""
-    def count(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([
-            len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(a, b)
-        ], dtype="int64")
-
-    return F.pandas_udf(count, "long")(a, b)
-
-
 def size_band(n: str, similar: tuple[int, int]) -> Column:
     """Bands of sizes one similarity wide: sizes that agree are in the same or in neighbouring bands."""
     return F.floor(F.log(n) / F.lit(float(np.log(similar[1] / similar[0])))).cast("int")
@@ -227,27 +226,29 @@ def bands_around(band: str) -> Column:
     return F.explode(F.array(F.col(band) - 1, F.col(band), F.col(band) + 1)).alias(band)
 
 
-def matchable(members: DataFrame, similar: tuple[int, int]) -> DataFrame:
-    """(class): members of cells that hold another member of a size they could link with."""
+def in_company(members: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """(cell, class, n): members of cells, the pivots among them, that meet another one of a size they could link with."""
     everyone = members.select(F.col("pivot").alias("cell"), "class", "n").union(
         members.select("pivot", "pivot", F.col("pivot_n")).distinct()).withColumn("band", size_band("n", similar))
     company = everyone.groupBy("cell", "band").agg(F.count("*").alias("here")).select("cell", bands_around("band"), "here")
     company = company.groupBy("cell", "band").agg(F.sum("here").alias("here")).filter("here > 1")
-    return everyone.join(company, ["cell", "band"]).select("class").distinct()
+    return everyone.join(company, ["cell", "band"]).select("cell", "class", "n")
 
 
-def stored_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(class, set) of the classes in ``wanted`` (class, rep), from the text of one document each.
+def fetched(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(class, doc_id, set) of the documents ``rep`` of ``wanted`` (class, rep), and of a few others.
 
-    The documents are found in a bitmap of hashed ids of fixed size; what it lets through by chance is
-    left out by the join on the class."""
-    bit = F.pmod(F.xxhash64("rep"), F.lit(WANTED_BITS))
+    They are found in a bitmap of hashed ids; what it lets through by chance is left out by the join that follows."""
+    bits, count = 1 << 20, wanted.count()
+    while bits < min(64 * count, MOST_BITS):
+        bits *= 2
+    bit = F.pmod(F.xxhash64("rep"), F.lit(bits))
     maps = (
         wanted.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("b"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("m")).collect()  # WANTED_BITS / 8 bytes in all
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("m")).collect()  # bits / 8 bytes in all
     )
     # bucket b holds the bits from (b - 1) * 32768 + 1 on; bit 0 is bucket 0's
-    flags = np.zeros(WANTED_BITS // 8 + 2 * 4096, np.uint8)
+    flags = np.zeros(bits // 8 + 2 * 4096, np.uint8)
     for r in maps:
         flags[r["b"] * 4096:(r["b"] + 1) * 4096] = np.frombuffer(bytes(r["m"]), np.uint8)
     held = docs.sparkSession.sparkContext.broadcast(flags)
@@ -258,73 +259,228 @@ def stored_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             where = batch.column(0).to_numpy() * 32768 + batch.column(1).to_numpy()
             rows = np.nonzero(flags[where >> 3] >> (where & 7).astype(np.uint8) & 1)[0]
             for a in range(0, len(rows), 200):
-                found = [shingler.shingles(t) for t in batch.column(2).take(pa.array(rows[a:a + 200])).to_pylist()]
+                at = pa.array(rows[a:a + 200])
+                found = [shingler.shingles(t) for t in batch.column(3).take(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([class_of(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["class", "set"])
+                    pa.array([class_of(s) for s in found], pa.int64()), batch.column(2).take(at), pa.array([s.tobytes() for s in found], pa.binary())], names=["class", "doc_id", "set"])
+
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    rows = texts(docs).select(F.bitmap_bucket_number(bit).alias("b"), F.bitmap_bit_position(bit).alias("p"), "doc_id", "text")
+    return rows.mapInArrow(run, "class long, doc_id long, set binary")
+
+
+def with_sets(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
+    """(cell, class, set) of ``members`` (cell, class, rep), each set from the text of one document; rows that repeat its doc_id repeat it."""
+    found = fetched(docs, members.select("class", "rep").distinct(), words)
+    return found.join(members.select("cell", "class", "rep"), "class").filter(F.col("doc_id").eqNullSafe(F.col("rep"))).select("cell", "class", "set")
+
+
+def stored_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(class, set) of the classes in ``wanted`` (class, rep)."""
+    return fetched(docs, wanted, words).select("class", "set").join(wanted.select("class"), "class").dropDuplicates(["class"])
+
+
+class Postings:
+    """Members of a cell by the shingles they hold."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(x) for x in sets], np.int64)
+        self.begin = np.concatenate([[0], np.cumsum(self.sizes)])
+        flat = np.concatenate(sets)
+        order = np.argsort(flat, kind="stable")
+        new = np.ones(len(flat), bool)
+        new[1:] = flat[order[1:]] != flat[order[:-1]]
+        self.start = np.append(np.nonzero(new)[0], len(flat))
+        self.owner = np.repeat(np.arange(len(sets)), self.sizes)[order]
+        self.shingle = np.empty(len(flat), np.int64)
+        self.shingle[order] = np.cumsum(new) - 1
+
+    def common(self, x: int) -> np.ndarray:
+        """Shingles that every member shares with member x."""
+        own = self.shingle[self.begin[x]:self.begin[x + 1]]
+        first, count = self.start[own], self.start[own + 1] - self.start[own]
+        at = np.repeat(first - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+        return np.bincount(self.owner[at], minlength=len(self.sizes))
+
+
+def cell_links(sets: list[np.ndarray], similar: tuple[int, int] = SIMILAR) -> list[tuple[int, int]]:
+    """Links between the members of a cell that fits, by number: enough of them to join all that link."""
+    least, base = similar
+    reach = 1 - least / base + 1e-9
+    held = Postings(sets)
+    n, label = held.sizes, np.arange(len(sets))
+    waiting, known, out = np.ones(len(sets), bool), [], []
+    for x in range(len(sets)):
+        waiting[x] = False
+        near = waiting & (label != label[x]) & (base * np.minimum(n, n[x]) >= least * np.maximum(n, n[x]))
+        for d in known:
+            near &= np.abs(d - d[x]) <= reach
+        if not near.any():
+            continue
+        shared = held.common(x)
+        united = n + n[x] - shared
+        if len(known) < PIVOTS:
+            known.append(1 - shared / united)
+        for y in np.nonzero(near & (base * shared >= least * united))[0]:
+            if label[y] != label[x]:
+                out.append((x, int(y)))
+                label[label == label[y]] = label[x]
+    return out
+
+
+def joined_cells(members: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """Links (a, b) inside cells that fit a task: members (cell, class, set), of which repeated ones count once."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, names, held, found = None, [], [], []
+
+        def close() -> None:
+            found.extend((names[x], names[y]) for x, y in (cell_links(held, similar) if len(held) > 1 else ()))
+
+        def sent() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            for here, name, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if here != cell:
+                    close()
+                    cell, names, held = here, [], []
+                elif name == names[-1]:
+                    continue
+                names.append(name)
+                held.append(np.frombuffer(raw.as_py(), np.uint64))
+            yield sent()
+            found.clear()
+        close()
+        yield sent()
+
+    return members.select("cell", "class", "set").repartition("cell").sortWithinPartitions("cell", "class").mapInArrow(run, "a long, b long")
+
+
+def measured(members: DataFrame, pivots: DataFrame, sets: DataFrame, similar: tuple[int, int], block: int) -> DataFrame:
+    """(cell, class, n, near): distances of every member of a cell to its pivots (cell, pivot), as a list of (pivot, distance, linked).
+
+    Members are dealt to blocks by hash; a block gets the sets of the cell's few pivots."""
+    least, base = similar
+    blocks = F.ceil(F.col("count") / F.lit(block)).cast("int")
+    dealt = members.withColumn("block", F.pmod(F.xxhash64("class"), blocks.cast("long")).cast("int"))
+    used = dealt.select("cell", "block").distinct().join(pivots, "cell")
+    rows = dealt.select("cell", "block", "class", "n", F.lit(False).alias("is_pivot")).union(
+        used.select("cell", "block", "pivot", F.lit(0), F.lit(True)))
 
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(WANTED_BITS))
-    rows = texts(docs).select(F.bitmap_bucket_number(bit).alias("b"), F.bitmap_bit_position(bit).alias("p"), "text")
-    return rows.mapInArrow(run, "class long, set binary").join(wanted.select("class"), "class").dropDuplicates(["class"])
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        heads = [(int(c), np.frombuffer(x, np.uint64)) for c, x in zip(rows["class"][rows["is_pivot"]], rows["set"][rows["is_pivot"]])]
+        own = rows[~rows["is_pivot"]]
+        near = []
+        for raw in own["set"]:
+            s, here = np.frombuffer(raw, np.uint64), []
+            for c, head in heads:
+                shared = len(np.intersect1d(s, head, assume_unique=True))
+                united = len(s) + len(head) - shared
+                here.append({"pivot": c, "distance": 1 - shared / united, "linked": bool(base * shared >= least * united)})
+            near.append(here)
+        return pd.DataFrame({"cell": own["cell"], "class": own["class"], "n": own["n"], "near": near})
+
+    return rows.join(sets, "class").select("cell", "block", "class", "n", "is_pivot", "set").groupBy("cell", "block").applyInPandas(
+        compare, "cell long, class long, n int, near array<struct<pivot: long, distance: double, linked: boolean>>")
+
+
+def with_components(members: DataFrame, comps: DataFrame) -> DataFrame:
+    return members.join(comps.select(F.col("node").alias("class"), "comp"), "class", "left").withColumn("comp", F.coalesce("comp", "class"))
+
+
+def open_members(members: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """Members (cell, class, n, comp, ...) that may still link: one of another component and of a size that
+    agrees (in the same or a neighbouring band) lies in the cell. With the ``count`` of those that stay."""
+    known = members.withColumn("band", size_band("n", similar))
+    company = known.groupBy("cell", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    company = company.select("cell", bands_around("band"), "lo", "hi").groupBy("cell", "band").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    mixed = known.join(company.filter("lo < hi").select("cell", "band"), ["cell", "band"]).drop("band")
+    return with_count(mixed)
+
+
+def with_count(members: DataFrame) -> DataFrame:
+    sizes = members.groupBy("cell").agg(F.count("*").alias("count"), F.sum("n").alias("held"))
+    return members.join(sizes, "cell")
+
+
+def divided(members: DataFrame, sets: DataFrame, links: DataFrame, run: Run, similar: tuple[int, int], fits: int, block: int) -> DataFrame:
+    """``links`` (a, b) and those inside cells that do not fit a task: members (cell, class, n, count, held)."""
+    least, base = similar
+    window = 2 * (1 - least / base) + 1e-9
+    level = 0
+    while not members.isEmpty():
+        place = F.pmod(F.xxhash64("class", F.lit(level)), F.lit(PIVOTS))
+        pivots = members.groupBy("cell", place.alias("place")).agg(F.max(F.struct(F.xxhash64("class", F.lit(-1 - level)), "class")).alias("top"))
+        pivots = run.store(pivots.select("cell", F.col("top.class").alias("pivot")), f"pivots{level}")
+        near = run.store(measured(members, pivots, sets, similar, block), f"measured{level}")
+        found = near.select("class", F.inline("near")).filter("linked AND class <> pivot").select(F.col("pivot").alias("a"), F.col("class").alias("b"))
+        links = run.store(links.union(found), f"links{level}")
+        comps = components(links, run, f"components{level}")
+        state = run.store(open_members(with_components(near, comps), similar), f"open{level}")
+        small = (F.col("count") <= fits) & (F.col("held") <= HOLDS)
+        rest = state.filter(~small).withColumn("nearest", F.array_min(F.transform("near", lambda x: x["distance"])))
+        regions = rest.select("cell", "class", "n", "count", "nearest", F.inline("near")).filter(F.col("distance") - F.col("nearest") <= window)
+        regions = run.store(regions.select("cell", "pivot", "class", "n", "count"), f"regions{level}")
+        pairs = regions.groupBy("cell", "pivot").agg(F.count("*").cast("double").alias("here"), F.first("count").alias("count"))
+        pairs = pairs.groupBy("cell").agg(F.sum(F.col("here") * F.col("here")).alias("after"), F.first("count").alias("count"))
+        falls = run.store(pairs.filter(F.col("after") < SHRINKS * F.col("count") * F.col("count")).select("cell"), f"falls{level}")
+        crowds = rest.join(falls, "cell", "left_anti").withColumn("distances", F.transform("near", lambda x: x["distance"]))
+        links = run.store(
+            links.union(joined_cells(state.filter(small).join(sets, "class"), similar)).union(in_blocks(crowds, sets, similar, block)), f"more-links{level}")
+        again = regions.join(falls, "cell", "left_semi").select(F.xxhash64("cell", "pivot").alias("cell"), "class", "n")
+        members = run.store(with_count(again), f"members{level}")
+        level += 1
+    return links
 
 
 def in_blocks(members: DataFrame, sets: DataFrame, similar: tuple[int, int], block: int = BLOCK) -> DataFrame:
     """Links (a, b) between members of different components of a cell.
 
-    members: cell, class, n, comp, outside (not in the pivot's component), low, high (distance to the
-    pivot), count (members of the cell); sets: class, set. Members are dealt by hash to blocks; every
-    block of outside members meets every block of the cell. Sets join the members once these are dealt.
+    members: cell, class, n, comp, distances (to the same few pivots of the cell), count (members of the cell);
+    sets: class, set. Members are dealt by hash to blocks; every block meets itself and each block after it, and sets join
+    the members once these are dealt.
     """
     least, base = similar
     reach = 1 - least / base + 1e-9
     blocks = F.ceil(F.col("count") / F.lit(block)).cast("int")
     own = F.pmod(F.xxhash64("class"), blocks.cast("long")).cast("int")
-    dealt = members.withColumn("blocks", blocks).withColumn("own", own)
-    first = dealt.filter("outside").select("*", F.col("own").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(True).alias("left")).filter("i <> j")
-    # a block of the cell goes to the blocks that hold outside members
-    used = dealt.filter("outside").select("cell", F.col("own").alias("i")).distinct()
-    second = dealt.join(used, "cell").select(*dealt.columns, "i", F.col("own").alias("j"), F.lit(False).alias("left"))
+    dealt = members.select("cell", "class", "comp", "distances", own.alias("own"), blocks.alias("blocks"))
+    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    met = dealt.withColumn("other", others).select(
+        "cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class", "comp", "distances")
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        left, right = rows[rows["left"]], rows[~rows["left"]]
-        if left.empty:  # a block of the cell against its own outside members
-            left = right[right["outside"]]
-        sets = {c: np.frombuffer(s, np.uint64) for c, s in zip(rows["class"], rows["set"])}
-        label: dict[int, int] = {}
-
-        def find(c: int) -> int:
-            while label.get(c, c) != c:
-                c = label[c]
-            return c
-
-        out = []
-        other = list(zip(right["class"], right["comp"], right["n"], right["low"], right["high"]))
-        for c, comp, n, low, high in zip(left["class"], left["comp"], left["n"], left["low"], left["high"]):
-            for c2, comp2, n2, low2, high2 in other:
-                if base * min(n, n2) < least * max(n, n2) or low - high2 > reach or low2 - high > reach:
-                    continue
-                a, b = find(comp), find(comp2)
-                if a == b:
-                    continue
-                shared = len(np.intersect1d(sets[c], sets[c2], assume_unique=True))
-                if base * shared >= least * (n + n2 - shared):
-                    out.append((c, c2))
-                    label[max(a, b)] = min(a, b)
+        held = Postings([np.frombuffer(x, np.uint64) for x in rows["set"]])
+        n, where = held.sizes, rows["own"].to_numpy()
+        label = np.unique(rows["comp"].to_numpy(), return_inverse=True)[1]
+        far = np.stack(rows["distances"].to_numpy())
+        first = np.nonzero(where == where.min())[0]
+        right = where == where.max()
+        names, out = rows["class"].to_numpy(), []
+        for x in first:
+            near = right & (label != label[x]) & (base * np.minimum(n, n[x]) >= least * np.maximum(n, n[x]))
+            at = np.nonzero(near)[0]
+            at = at[(np.abs(far[at] - far[x]) <= reach).all(axis=1)]
+            if not len(at):
+                continue
+            shared = held.common(x)[at]
+            for y in at[base * shared >= least * (n[at] + n[x] - shared)]:
+                if label[y] != label[x]:
+                    out.append((names[x], names[y]))
+                    label[label == label[y]] = label[x]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    columns = ["cell", "i", "j", "left", "outside", "class", "n", "comp", "low", "high"]
-    return first.select(columns).union(second.select(columns)).join(sets, "class").groupBy("cell", "i", "j").applyInPandas(compare, "a long, b long")
+    return met.join(sets, "class").groupBy("cell", "i", "j").applyInPandas(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, run: Run, words: int = WORDS, similar: tuple[int, int] = SIMILAR,
-                    rounds: int = ROUNDS, block: int = BLOCK) -> DataFrame:
+                    fits: int = FITS, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row.
 
     Null texts and texts without words have no shingles and link with nothing: their component is
     their own doc_id. Rows of one doc_id keep a row each. A row without a doc_id takes part in links and
     gets the least doc_id it reaches, null if there is none.
     """
-    spark = docs.sparkSession
-    least, base = similar
     first = run.store(sets_and_counts(docs, words), "sets-and-counts")
     named = first.filter("class IS NOT NULL").select("doc_id", "n", "class")
     top = (
@@ -339,41 +495,13 @@ def near_duplicates(docs: DataFrame, run: Run, words: int = WORDS, similar: tupl
     members = run.store(cells(shared, run, similar), "cells")
     run.drop("shared-regions", "able-regions")
     classes = run.store(named.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("rep")), "classes")
-    sets = run.store(stored_sets(docs, classes.join(matchable(members, similar), "class"), words), "sets")
-
-    measured, links, comps = None, None, None
-    pairs = members.filter(sizes_agree("n", "pivot_n", similar)).select("pivot", "pivot_n", "class", "n", F.col("pivot").alias("cell"))
-    for k in range(rounds):
-        sized = (
-            pairs.join(sets, "class").join(sets.select(F.col("class").alias("pivot"), F.col("set").alias("other")), "pivot")
-            .select("cell", "pivot", "class", F.col("n").cast("long").alias("n"), F.col("pivot_n").cast("long").alias("pivot_n"), common("set", "other").alias("common"))
-        )
-        united = F.col("n") + F.col("pivot_n") - F.col("common")
-        round_ = run.store(sized.select(
-            "cell", "pivot", "class", (F.lit(base) * F.col("common") >= F.lit(least) * united).alias("linked"),
-            (1 - F.col("common") / united).alias("distance")), f"round{k}")
-        measured = round_ if measured is None else measured
-        found = round_.filter("linked").select(F.col("pivot").alias("a"), F.col("class").alias("b"))
-        links = found if links is None else links.union(found)
-        comps = components(links, run, f"components{k}")
-        state = open_cells(members, comps, similar)
-        if k + 1 < rounds:
-            state = run.store(state, f"open{k}")
-            # the most central outside member of a large cell leads the next round; small cells go to blocks
-            lead = state.filter("outside").filter(F.col("count") > block).groupBy("cell").agg(F.max(F.struct("central", "class", "n", "comp")).alias("lead"))
-            pairs = (
-                state.join(lead, "cell").filter("comp <> lead.comp")
-                .select("cell", F.col("lead.class").alias("pivot"), F.col("lead.n").alias("pivot_n"), "class", "n")
-                .filter(sizes_agree("n", "pivot_n", similar))
-            )
-    near = measured.select("cell", "class", "distance")
-    ratio = F.least("n", "pivot_n") / F.greatest("n", "pivot_n")
-    bounded = (
-        state.join(near, ["cell", "class"], "left")
-        .withColumn("low", F.coalesce("distance", 1 - ratio)).withColumn("high", F.coalesce("distance", F.lit(1.0)))
-    )
-    rest = in_blocks(bounded.drop("distance"), sets, similar, block)
-    links = run.store(links.union(rest), "links")
+    members = run.store(with_count(in_company(members, similar)).join(classes, "class"), "members")
+    small = (F.col("count") <= fits) & (F.col("held") <= HOLDS)
+    links = run.store(joined_cells(with_sets(docs, members.filter(small), words), similar), "links")
+    large = run.store(members.filter(~small).drop("rep"), "large")
+    if not large.isEmpty():
+        sets = run.store(stored_sets(docs, classes.join(large.select("class").distinct(), "class"), words), "sets")
+        links = divided(large, sets, links, run, similar, fits, block)
     final = components(links, run, "final")
 
     labelled = classes.join(final, F.col("class") == F.col("node"), "left").select("class", "rep", F.coalesce("comp", "class").alias("comp"))
@@ -384,19 +512,3 @@ def near_duplicates(docs: DataFrame, run: Run, words: int = WORDS, similar: tupl
         .select("doc_id", F.col("n").cast("long").alias("n_shingles"),
                 F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
     )
-
-
-def open_cells(members: DataFrame, comps: DataFrame, similar: tuple[int, int]) -> DataFrame:
-    """Members of a cell that may still link with another: one of another component and of a size that
-    agrees (in the same or a neighbouring band). The pivot itself has been measured against all of them."""
-    known = (
-        members.select(F.col("pivot").alias("cell"), "class", "n", "central", "pivot_n")
-        .join(comps, F.col("class") == F.col("node"), "left").withColumn("comp", F.coalesce("comp", "class")).drop("node")
-        .join(comps.select(F.col("node").alias("cell"), F.col("comp").alias("cell_comp")), "cell", "left")
-        .withColumn("outside", F.col("comp") != F.coalesce("cell_comp", "cell")).drop("cell_comp")
-        .withColumn("band", size_band("n", similar))
-    )
-    company = known.groupBy("cell", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    company = company.select("cell", bands_around("band"), "lo", "hi").groupBy("cell", "band").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    mixed = known.join(company.filter("lo < hi").select("cell", "band"), ["cell", "band"]).drop("band")
-    return mixed.join(mixed.groupBy("cell").agg(F.count("*").alias("count")), "cell")

@@ -62,13 +62,73 @@ def near_copies(seed, words=60, groups=12, copies=14):
     return [(3 * i + 1, t) for i, t in enumerate(rows)]
 
 
-@pytest.mark.parametrize(("seed", "rounds", "block"), [(1, 2, 64), (2, 1, 3), (3, 3, 5)])
-def test_join_equals_all_pairs(make_docs, run_of, seed, rounds, block):
+@pytest.mark.parametrize(("seed", "fits", "block"), [(1, 2048, 64), (2, 4, 3), (3, 9, 5)])
+def test_join_equals_all_pairs(make_docs, run_of, seed, fits, block):
+    """All cells joined by one task each, and nearly all divided by pivots and compared in blocks."""
     rows = near_copies(seed)
-    got = jaccard.near_duplicates(make_docs(rows, extra=True).repartition(5), run_of("join"), rounds=rounds, block=block)
+    got = jaccard.near_duplicates(make_docs(rows, extra=True).repartition(5), run_of("join"), fits=fits, block=block)
     assert sorted(map(tuple, got.collect()), key=str) == least_reachable(rows)
 
 
+def crowd(members, seed, universe=40):
+    """Sets around a few bases, near the threshold of linking, and chains of sets that link only with the next."""
+    rng = np.random.default_rng(seed)
+    hashes = rng.integers(1, 1 << 62, universe * 12).astype(np.uint64)
+    bases = [rng.choice(hashes, universe, replace=False) for _ in range(6)]
+    sets = []
+    for k in range(members):
+        base = bases[k % 6].copy()
+        at = rng.choice(universe, int(rng.integers(0, 12)), replace=False)
+        base[at] = rng.choice(hashes, len(at))
+        sets.append(np.unique(base[:int(rng.integers(universe // 2, universe + 1))]))
+    return sets
+
+
+def labels_of(count, links):
+    label = list(range(count))
+
+    def find(a):
+        while label[a] != a:
+            a = label[a]
+        return a
+
+    for a, b in links:
+        label[max(find(a), find(b))] = min(find(a), find(b))
+    return [find(a) for a in range(count)]
+
+
+def all_links(sets):
+    holds = np.zeros((len(sets), len(np.unique(np.concatenate(sets)))), np.float32)
+    order = {h: k for k, h in enumerate(np.unique(np.concatenate(sets)).tolist())}
+    for k, x in enumerate(sets):
+        holds[k, [order[h] for h in x.tolist()]] = 1
+    common = (holds @ holds.T).astype(int)
+    size = np.array([len(x) for x in sets])
+    a, b = np.nonzero(100 * common >= 75 * (size[:, None] + size - common))
+    return [(int(x), int(y)) for x, y in zip(a, b) if x < y]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_links_inside_a_cell_join_all_that_link(seed):
+    sets = crowd(400, seed)
+    assert labels_of(400, jaccard.cell_links(sets)) == labels_of(400, all_links(sets))
+    assert len(jaccard.cell_links(sets)) < 400  # a link joins two components, or is not listed
+
+
+def test_a_cell_of_thousands_is_divided_exactly(spark, run_of):
+    """5,000 members in one cell of which 1,000 fit a task: pivots, regions and blocks join all that link, and no more."""
+    sets = crowd(5_000, 11)
+    names = [int.from_bytes(hashlib.blake2b(b"%d" % k, digest_size=7).digest(), "little") for k in range(5_000)]
+    run = run_of("crowd")
+    stored = run.store(spark.createDataFrame([(n, x.tobytes()) for n, x in zip(names, sets)], "class long, set binary"), "sets")
+    members = spark.createDataFrame([(7, n, len(x)) for n, x in zip(names, sets)], "cell long, class long, n int")
+    large = run.store(jaccard.with_count(members), "large")
+    none = spark.createDataFrame([], "a long, b long")
+    links = jaccard.divided(large, stored, none, run, jaccard.SIMILAR, fits=1_000, block=512).collect()
+    number = {n: k for k, n in enumerate(names)}
+    assert labels_of(5_000, [(number[r["a"]], number[r["b"]]) for r in links]) == labels_of(5_000, all_links(sets))
+
+
 def test_join_of_awkward_rows(make_docs, run_of):
     rows = [(1, None), (2, ""), (3, " \n "), (4, "a b"), (5, "A  b"), (6, "a b c"), (7, "a b c d e"), (8, "A\tB c d e"), (9, "x" * 100_000),
             (9, "x" * 100_000), (10, "é È 日本 ü z"), (None, "a b c d e"), (None, "only here as it is"), (11, "only here as it is")]
