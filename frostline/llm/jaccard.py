@@ -51,6 +51,7 @@ FITS = 2048                # members of a cell that one task joins
 HOLDS = 8_000_000          # and shingles of its members in all: 64 MB
 PIVOTS = 8                 # pivots that divide a larger cell, and members against which distances are kept
 SHRINKS = 0.5              # a cell is divided if its regions together have less than this share of its pairs
+NAME_BITS = 48             # of a shingle's hash name its region; shingles of one name share a region, which adds company but loses none
 BLOCK = 256                # members of one side in a block comparison
 MOST_BITS = 1 << 28        # hashed ids of the documents whose sets are fetched, 16 bits each and 32 MB at most
 
@@ -159,10 +160,13 @@ def sets_and_counts(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def prefixes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], words: int, similar: tuple[int, int]) -> DataFrame:
-    """(shingle, class, n, central): the regions in which each set takes part."""
+    """(shingle, class, kind): the regions in which each set takes part, its size and centrality in ``kind`` (n * 65536 + central).
+
+    A region is named by the first ``NAME_BITS`` bits of its shingle. A set takes regions until their names are as many as its
+    prefix asks for, so two sets that meet in m shingles also meet in m names."""
     spark = docs.sparkSession
     order = spark.sparkContext.broadcast(frequent)
-    names = ["shingle", "class", "n", "central"]
+    names = ["shingle", "class", "kind"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, (known, seen), met = Shingler(words), order.value, set()
@@ -178,39 +182,40 @@ def prefixes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], words: in
                 if len(known):
                     at = np.minimum(np.searchsorted(known, s), len(known) - 1)
                     often = np.where(known[at] == s, seen[at], 0)
-                first = s[np.argsort(often, kind="stable")[:prefix_size(len(s), similar)]]
+                regions, size = s[np.argsort(often, kind="stable")] >> np.uint64(64 - NAME_BITS), prefix_size(len(s), similar)
+                first = regions[:size]
+                if len(np.unique(first)) < size:
+                    first = regions[np.sort(np.unique(regions, return_index=True)[1])[:size]]
                 found.append(first)
-                rows.append((name, len(s), int(1000 * np.log2(1 + often).mean()), len(first)))
+                rows.append((name, len(s) * 65536 + int(1000 * np.log2(1 + often).mean()), len(first)))
             if len(met) > 500_000:
                 met = set()
             if rows:
-                name, n, central, times = (np.array(c, np.int64) for c in zip(*rows))
-                columns = [np.concatenate(found).view(np.int64), np.repeat(name, times), np.repeat(n, times).astype(np.int32), np.repeat(central, times).astype(np.int32)]
+                name, kind, times = (np.array(c, np.int64) for c in zip(*rows))
+                columns = [np.concatenate(found).view(np.int64), np.repeat(name, times), np.repeat(kind, times)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
-    return texts(docs).mapInArrow(run, "shingle long, class long, n int, central int")
+    return texts(docs).mapInArrow(run, "shingle long, class long, kind long")
 
 
 def shared_regions(regions: DataFrame) -> DataFrame:
-    """(shingle, class, n, central, here) of regions with two members or more; others hold no pair. ``here`` orders the regions."""
+    """(shingle, class, kind, here) of regions with two members or more; others hold no pair. ``here`` orders the regions."""
     region = Window.partitionBy("shingle")
     mixed = regions.select("*", F.min("class").over(region).alias("least"), F.max("class").over(region).alias("most"), F.count("*").over(region).alias("here"))
     return mixed.filter("least <> most").drop("least", "most").dropDuplicates(["shingle", "class"])
 
 
 def cells(shared: DataFrame, run: Run, similar: tuple[int, int]) -> DataFrame:
-    """(pivot, pivot_n, class, n, central): members of each pivot's cell, the pivot itself left out.
+    """(cell, class, n): members of each pivot's cell, the pivot among them. A cell's name is its pivot's centrality and part of its class.
 
     Sets that meet others too seldom to link with any have left before the pivots are named, and every set all but its first regions."""
-    own = Window.partitionBy("class")
+    own, n = Window.partitionBy("class"), "shiftright(kind, 16)"
     met = shared.withColumn("met", F.count("*").over(own)).withColumn("place", F.row_number().over(own.orderBy("here", "shingle")))
-    first = met.filter((F.col("met") >= meetings("n", similar)) & (F.col("place") <= F.col("met") - meetings("n", similar) + 1))
-    kept = run.store(first.select("shingle", "class", "n", "central"), "able-regions")
-    pivots = kept.groupBy("shingle").agg(F.max(F.struct("central", "class", "n")).alias("pivot"))  # combined before the shuffle
-    return (
-        kept.join(pivots, "shingle").filter("class <> pivot.class")
-        .select(F.col("pivot.class").alias("pivot"), F.col("pivot.n").alias("pivot_n"), "class", "n", "central").distinct()
-    )
+    first = met.filter((F.col("met") >= meetings(n, similar)) & (F.col("place") <= F.col("met") - meetings(n, similar) + 1))
+    kept = run.store(first.select("shingle", "class", "kind"), "able-regions")
+    name = F.expr("shiftleft(kind & 65535, 47) | shiftrightunsigned(class, 17)")
+    pivots = kept.groupBy("shingle").agg(F.max(name).alias("cell"), F.count("*").alias("here"))  # combined before the shuffle
+    return kept.join(pivots.filter("here > 1"), "shingle").select("cell", "class", F.expr(n).cast("int").alias("n")).distinct()
 
 
 def sizes_agree(a: str, b: str, similar: tuple[int, int]) -> Column:
@@ -227,9 +232,8 @@ def bands_around(band: str) -> Column:
 
 
 def in_company(members: DataFrame, similar: tuple[int, int]) -> DataFrame:
-    """(cell, class, n): members of cells, the pivots among them, that meet another one of a size they could link with."""
-    everyone = members.select(F.col("pivot").alias("cell"), "class", "n").union(
-        members.select("pivot", "pivot", F.col("pivot_n")).distinct()).withColumn("band", size_band("n", similar))
+    """(cell, class, n): members of cells that meet another one of a size they could link with."""
+    everyone = members.withColumn("band", size_band("n", similar))
     company = everyone.groupBy("cell", "band").agg(F.count("*").alias("here")).select("cell", bands_around("band"), "here")
     company = company.groupBy("cell", "band").agg(F.sum("here").alias("here")).filter("here > 1")
     return everyone.join(company, ["cell", "band"]).select("cell", "class", "n")
