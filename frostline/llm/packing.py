@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from frostline.llm.shared import Run, texts
-from frostline.llm.tokens import encoder, rows_of
+from frostline.llm.tokens import encoder
 
 CAPACITY = 4096
 SLACK = 0                 # a bin with at most this much room left is final
@@ -82,8 +82,8 @@ def pack_leaves(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CA
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
         for batch in batches:
-            for doc, text in rows_of(batch):
-                coded = encode.encode_all([text])[0] + end
+            for doc, coded in encode.rows(batch):
+                coded += end
                 for k, a in enumerate(range(0, len(coded), 4 * capacity)):
                     ids = coded[a:a + 4 * capacity]
                     held.append((doc, k, a // 4, len(ids) // 4, zlib.crc32(ids), ids if keep_ids else None))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from frostline.llm.shared import Run, texts
-from frostline.llm.tokens import encoder, rows_of
+from frostline.llm.tokens import encoder
 
 BLOCK = 128
 PERCENTILE = 0.90
@@ -135,8 +135,8 @@ def write_ids(docs: DataFrame, run: Run, tokenizer: str, end_id: int, percentile
 
         size = 0
         for batch in batches:
-            for doc, text in rows_of(batch):
-                coded = encode.encode_all([text])[0] + end
+            for doc, coded in encode.rows(batch):
+                coded += end
                 ids.append(doc)
                 held.append(coded)
                 size += len(coded) // 4

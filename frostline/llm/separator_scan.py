@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from frostline.llm.shared import Run, texts
-from frostline.llm.tokens import encoder, forget, rows_of
+from frostline.llm.tokens import encoder, forget
 
 BLOCK_IDS = 1 << 15
 ROW_GROUP = 4 << 20
@@ -61,8 +61,8 @@ def write_flat(docs: DataFrame, run: Run, tokenizer: str, end_id: int, block_ids
                 pa.array(range(document, document + n), kinds[3]), batch.column(0),
             ], names=names)
             document += n
-            for _, text in rows_of(batch):
-                held += encode.encode_all([text])[0] + end
+            for _, coded in encode.rows(batch):
+                held += coded + end
                 while len(held) >= 4 * block_ids:
                     part = bytes(held[:4 * block_ids])
                     del held[:4 * block_ids]

@@ -6,12 +6,13 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from frostline.llm import bpe, catalog, packing, pfor, separator_scan
+from frostline.llm import bpe, catalog, packing, pfor, separator_scan, tokens
 from frostline.llm.tokens import PieceEncoder
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
@@ -43,6 +44,50 @@ def test_piecewise_encoding_equals_the_library(word):
         assert list(np.frombuffer(ours.encode_all([text])[0], "<u4")) == word.encode(text, add_special_tokens=False).ids, text
 
 
+class Counted:
+    """Stands for the library's object and counts what one of its methods is given."""
+
+    def __init__(self, real, method):
+        self.given = []
+        self.call = getattr(real, method)
+        setattr(self, method, self.count)
+
+    def count(self, what, **options):
+        self.given += what if isinstance(what, list) else [what]
+        return self.call(what, **options)
+
+
+def test_words_with_any_punctuation_behind_do_not_need_the_whole_tokenizer(word):
+    ours, words = PieceEncoder(WORD), [f"{a}{b}{c}" for a in "abcd" for b in "efgh" for c in "klmn"]
+    ours.tokenizer = Counted(ours.tokenizer, "encode_batch_fast")
+    for end in ("###", "!!", ".%%%", "'\"", "_", "<|", "\\]"):
+        text = " ".join(w + end for w in words)
+        assert list(np.frombuffer(ours.encode_all([text])[0], "<u4")) == word.encode(text, add_special_tokens=False).ids, end
+    assert not ours.tokenizer.given
+
+
+def test_frequent_words_stay_while_rare_ones_are_forgotten(monkeypatch):
+    monkeypatch.setattr(tokens, "MAX_WORDS", 40)
+    monkeypatch.setattr(tokens, "MAX_PIECES", 40)
+    ours, letters = PieceEncoder(WORD), "abcdefghij"
+    ours.words.model = Counted(ours.words.model, "tokenize")
+    for i in range(100):
+        ours.encode_all([" ".join(["always", *(f"q{letters[i // 10]}{letters[i % 10]}{c}" for c in letters)])])
+    assert ours.words.model.given.count("always") == 1
+    assert len(ours.words.known) <= 40
+
+
+def test_rows_of_a_batch_are_cut_by_bytes(word, monkeypatch):
+    monkeypatch.setattr(tokens, "CHUNK_BYTES", 50)
+    texts = ["", "x" * 300, *(t for t in pieces(5, 200)), "", "the\nend of it.", ""]
+    batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    got = list(PieceEncoder(WORD).rows(batch.slice(1)))
+    assert [i for i, _ in got] == list(range(1, len(texts)))
+    for i, ids in got:
+        assert list(np.frombuffer(ids, "<u4")) == word.encode(texts[i], add_special_tokens=False).ids, texts[i]
+    assert list(PieceEncoder(WORD).rows(batch.slice(0, 0))) == []
+
+
 def test_piecewise_encoding_refuses_other_vocabularies():
     with pytest.raises(ValueError):
         PieceEncoder(BYTE)
