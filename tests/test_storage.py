@@ -33,3 +33,25 @@ def test_streets_are_parsed_once(spark, orders_of):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert clean.ADDRESS_PATTERN in plan
     assert not [line for line in plan.splitlines() if "Filter" in line and clean.ADDRESS_PATTERN in line]
+
+
+@pytest.mark.parametrize("name", ["s11", "s11_rerun", "s10"])
+def test_requests_are_joined_once_for_fit_score_and_records(spark, monkeypatch, name):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    day = dt.datetime(2000, 1, 1)
+    rows = [("Ward 1", day, day + dt.timedelta(hours=1)), ("Ward 1", day, day + dt.timedelta(hours=4)), ("Ward 1", day, None), (None, None, day)]
+    schema = "ward string, add_ts timestamp, due_ts timestamp, resolved_ts timestamp"
+    frame = spark.createDataFrame([(w, a, day, r) for w, a, r in rows], schema).mapInArrow(counted, schema)
+    monkeypatch.setattr(storage, "timed", lambda *_: clean.with_lateness(frame))
+    found = getattr(storage, name)(spark, "").collect()
+    assert seen.value == len(rows)
+    if name == "s10":
+        assert [(r["ward"], r["y_pred"], r["n"]) for r in found] == [("Ward 1", 2.5, 2)]
+    else:
+        assert sorted((r["stage"], r["n"], r["mae"]) for r in found) == [("evaluate", 2, 1.5), ("train", 2, 1.5)]
