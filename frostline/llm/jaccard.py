@@ -21,7 +21,8 @@ Jaccard distance is a metric, so documents can be joined by regions around pivot
    different components, with the same bounds.
 
 No pair that could link escapes these steps, so the components are exact; links inside a component
-that is known already are not listed. Shingles are compared by 64-bit hashes.
+that is known already are not listed. Shingles are compared by 64-bit hashes; where members travel to
+their cell, their deflated texts do, which take less than half of the hashes' room, and are cut into shingles there.
 The order of shingles affects cost only: it comes from counts that every task takes over all of its
 shingles, of which the 2**18 highest are kept.
 """
@@ -29,7 +30,8 @@ shingles, of which the 2**18 highest are kept.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -51,7 +53,7 @@ FITS = 2048                # members of a cell that one task joins
 HOLDS = 8_000_000          # and shingles of its members in all: 64 MB
 PIVOTS = 8                 # pivots that divide a larger cell, and members against which distances are kept
 SHRINKS = 0.5              # a cell is divided if its regions together have less than this share of its pairs
-NAME_BITS = 48             # of a shingle's hash name its region; shingles of one name share a region, which adds company but loses none
+NAME_BITS = 40             # of a shingle's hash name its region; shingles of one name share a region, which adds company but loses none
 BLOCK = 256                # members of one side in a block comparison
 MOST_BITS = 1 << 28        # hashed ids of the documents whose sets are fetched, 16 bits each and 32 MB at most
 
@@ -160,13 +162,13 @@ def sets_and_counts(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def prefixes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], words: int, similar: tuple[int, int]) -> DataFrame:
-    """(shingle, class, kind): the regions in which each set takes part, its size and centrality in ``kind`` (n * 65536 + central).
+    """(shingle, class): the regions in which each set takes part.
 
     A region is named by the first ``NAME_BITS`` bits of its shingle. A set takes regions until their names are as many as its
     prefix asks for, so two sets that meet in m shingles also meet in m names."""
     spark = docs.sparkSession
     order = spark.sparkContext.broadcast(frequent)
-    names = ["shingle", "class", "kind"]
+    names = ["shingle", "class"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, (known, seen), met = Shingler(words), order.value, set()
@@ -187,35 +189,38 @@ def prefixes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], words: in
                 if len(np.unique(first)) < size:
                     first = regions[np.sort(np.unique(regions, return_index=True)[1])[:size]]
                 found.append(first)
-                rows.append((name, len(s) * 65536 + int(1000 * np.log2(1 + often).mean()), len(first)))
+                rows.append((name, len(first)))
             if len(met) > 500_000:
                 met = set()
             if rows:
-                name, kind, times = (np.array(c, np.int64) for c in zip(*rows))
-                columns = [np.concatenate(found).view(np.int64), np.repeat(name, times), np.repeat(kind, times)]
+                name, times = (np.array(c, np.int64) for c in zip(*rows))
+                columns = [np.concatenate(found).view(np.int64), np.repeat(name, times)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
-    return texts(docs).mapInArrow(run, "shingle long, class long, kind long")
+    return texts(docs).mapInArrow(run, "shingle long, class long")
 
 
 def shared_regions(regions: DataFrame) -> DataFrame:
-    """(shingle, class, kind, here) of regions with two members or more; others hold no pair. ``here`` orders the regions."""
+    """(shingle, class, here) of regions with two members or more; others hold no pair. ``here`` orders the regions."""
     region = Window.partitionBy("shingle")
     mixed = regions.select("*", F.min("class").over(region).alias("least"), F.max("class").over(region).alias("most"), F.count("*").over(region).alias("here"))
     return mixed.filter("least <> most").drop("least", "most").dropDuplicates(["shingle", "class"])
 
 
-def cells(shared: DataFrame, run: Run, similar: tuple[int, int]) -> DataFrame:
-    """(cell, class, n): members of each pivot's cell, the pivot among them. A cell's name is its pivot's centrality and part of its class.
+def cells(shared: DataFrame, sizes: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """(cell, class): members of each pivot's cell, the pivot among them. ``sizes`` has (class, n). A cell's name is its pivot's
+    centrality, the share of its shingles whose regions it shares, and part of its class.
 
     Sets that meet others too seldom to link with any have left before the pivots are named, and every set all but its first regions."""
-    own, n = Window.partitionBy("class"), "shiftright(kind, 16)"
+    own, region = Window.partitionBy("class"), Window.partitionBy("shingle")
     met = shared.withColumn("met", F.count("*").over(own)).withColumn("place", F.row_number().over(own.orderBy("here", "shingle")))
-    first = met.filter((F.col("met") >= meetings(n, similar)) & (F.col("place") <= F.col("met") - meetings(n, similar) + 1))
-    kept = run.store(first.select("shingle", "class", "kind"), "able-regions")
-    name = F.expr("shiftleft(kind & 65535, 47) | shiftrightunsigned(class, 17)")
-    pivots = kept.groupBy("shingle").agg(F.max(name).alias("cell"), F.count("*").alias("here"))  # combined before the shuffle
-    return kept.join(pivots.filter("here > 1"), "shingle").select("cell", "class", F.expr(n).cast("int").alias("n")).distinct()
+    met = met.join(sizes.select("class", "n"), "class")
+    kept = met.filter((F.col("met") >= meetings("n", similar)) & (F.col("place") <= F.col("met") - meetings("n", similar) + 1))
+    central = F.least(F.expr("32767 * met div n"), F.lit(32767))
+    name = F.expr("shiftleft(central, 47) | shiftrightunsigned(class, 17)")
+    named = kept.select("shingle", "class", central.alias("central")).select(
+        "class", F.max(name).over(region).alias("cell"), F.count("*").over(region).alias("here"))
+    return named.filter("here > 1").select("cell", "class").distinct()
 
 
 def sizes_agree(a: str, b: str, similar: tuple[int, int]) -> Column:
@@ -232,15 +237,15 @@ def bands_around(band: str) -> Column:
 
 
 def in_company(members: DataFrame, similar: tuple[int, int]) -> DataFrame:
-    """(cell, class, n): members of cells that meet another one of a size they could link with."""
+    """Members (cell, class, n, ...) of cells that meet another one of a size they could link with."""
     everyone = members.withColumn("band", size_band("n", similar))
     company = everyone.groupBy("cell", "band").agg(F.count("*").alias("here")).select("cell", bands_around("band"), "here")
     company = company.groupBy("cell", "band").agg(F.sum("here").alias("here")).filter("here > 1")
-    return everyone.join(company, ["cell", "band"]).select("cell", "class", "n")
+    return everyone.join(company.select("cell", "band"), ["cell", "band"]).select(members.columns)
 
 
 def fetched(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(class, doc_id, set) of the documents ``rep`` of ``wanted`` (class, rep), and of a few others.
+    """(class, doc_id, packed) of the documents ``rep`` of ``wanted`` (class, rep), and of a few others.
 
     They are found in a bitmap of hashed ids; what it lets through by chance is left out by the join that follows."""
     bits, count = 1 << 20, wanted.count()
@@ -264,24 +269,45 @@ def fetched(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             rows = np.nonzero(flags[where >> 3] >> (where & 7).astype(np.uint8) & 1)[0]
             for a in range(0, len(rows), 200):
                 at = pa.array(rows[a:a + 200])
-                found = [shingler.shingles(t) for t in batch.column(3).take(at).to_pylist()]
+                found = batch.column(3).take(at).to_pylist()
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([class_of(s) for s in found], pa.int64()), batch.column(2).take(at), pa.array([s.tobytes() for s in found], pa.binary())], names=["class", "doc_id", "set"])
+                    pa.array([class_of(shingler.shingles(t)) for t in found], pa.int64()), batch.column(2).take(at),
+                    pa.array([packed(t) for t in found], pa.binary())], names=["class", "doc_id", "packed"])
 
     bit = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
     rows = texts(docs).select(F.bitmap_bucket_number(bit).alias("b"), F.bitmap_bit_position(bit).alias("p"), "doc_id", "text")
-    return rows.mapInArrow(run, "class long, doc_id long, set binary")
+    return rows.mapInArrow(run, "class long, doc_id long, packed binary")
 
 
-def with_sets(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
-    """(cell, class, set) of ``members`` (cell, class, rep), each set from the text of one document; rows that repeat its doc_id repeat it."""
+def packed(text: str) -> bytes:
+    """A text as it travels: deflated, well below the eight bytes that each of its shingles' hashes takes."""
+    return zlib.compress(text.encode("utf-8", "surrogatepass"), 1)
+
+
+def unpacked(words: int) -> Callable[[bytes], np.ndarray]:
+    """A reader of the shingles of packed texts."""
+    shingler = Shingler(words)
+    return lambda raw: shingler.shingles(zlib.decompress(raw).decode("utf-8", "surrogatepass"))
+
+
+def with_texts(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
+    """(cell, class, packed) of ``members`` (cell, class, rep), each with the text of one document; rows that repeat its doc_id repeat it."""
     found = fetched(docs, members.select("class", "rep").distinct(), words)
-    return found.join(members.select("cell", "class", "rep"), "class").filter(F.col("doc_id").eqNullSafe(F.col("rep"))).select("cell", "class", "set")
+    return found.join(members.select("cell", "class", "rep"), "class").filter(F.col("doc_id").eqNullSafe(F.col("rep"))).select("cell", "class", "packed")
 
 
 def stored_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """(class, set) of the classes in ``wanted`` (class, rep)."""
-    return fetched(docs, wanted, words).select("class", "set").join(wanted.select("class"), "class").dropDuplicates(["class"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = unpacked(words)
+        for batch in batches:
+            for a in range(0, len(batch), 200):
+                part = batch.slice(a, 200)
+                sets = [read(x.as_py()).tobytes() for x in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["class", "set"])
+
+    found = fetched(docs, wanted, words).select("class", "packed").join(wanted.select("class"), "class").dropDuplicates(["class"])
+    return found.select("class", "packed").mapInArrow(run, "class long, set binary")
 
 
 class Postings:
@@ -332,10 +358,12 @@ def cell_links(sets: list[np.ndarray], similar: tuple[int, int] = SIMILAR) -> li
     return out
 
 
-def joined_cells(members: DataFrame, similar: tuple[int, int]) -> DataFrame:
-    """Links (a, b) inside cells that fit a task: members (cell, class, set), of which repeated ones count once."""
+def joined_cells(members: DataFrame, similar: tuple[int, int], words: int | None = None) -> DataFrame:
+    """Links (a, b) inside cells that fit a task: members (cell, class, set), or with ``words`` given (cell, class, packed), of
+    which repeated ones count once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, names, held, found = None, [], [], []
+        read = unpacked(words) if words else lambda raw: np.frombuffer(raw, np.uint64)
 
         def close() -> None:
             found.extend((names[x], names[y]) for x, y in (cell_links(held, similar) if len(held) > 1 else ()))
@@ -351,13 +379,13 @@ def joined_cells(members: DataFrame, similar: tuple[int, int]) -> DataFrame:
                 elif name == names[-1]:
                     continue
                 names.append(name)
-                held.append(np.frombuffer(raw.as_py(), np.uint64))
+                held.append(read(raw.as_py()))
             yield sent()
             found.clear()
         close()
         yield sent()
 
-    return members.select("cell", "class", "set").repartition("cell").sortWithinPartitions("cell", "class").mapInArrow(run, "a long, b long")
+    return members.select("cell", "class", "packed" if words else "set").repartition("cell").sortWithinPartitions("cell", "class").mapInArrow(run, "a long, b long")
 
 
 def measured(members: DataFrame, pivots: DataFrame, sets: DataFrame, similar: tuple[int, int], block: int) -> DataFrame:
@@ -496,15 +524,16 @@ def near_duplicates(docs: DataFrame, run: Run, words: int = WORDS, similar: tupl
     frequent = (keys[by_key], top["seen"].to_numpy(np.int64)[by_key])
 
     shared = run.store(shared_regions(prefixes(docs, frequent, words, similar)), "shared-regions")
-    members = run.store(cells(shared, run, similar), "cells")
-    run.drop("shared-regions", "able-regions")
-    classes = run.store(named.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("rep")), "classes")
-    members = run.store(with_count(in_company(members, similar)).join(classes, "class"), "members")
+    classes = run.store(named.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "classes")
+    members = run.store(cells(shared, classes, similar), "cells")
+    run.drop("shared-regions")
+    members = run.store(with_count(in_company(members.join(classes, "class"), similar)), "members")
     small = (F.col("count") <= fits) & (F.col("held") <= HOLDS)
-    links = run.store(joined_cells(with_sets(docs, members.filter(small), words), similar), "links")
+    links = run.store(joined_cells(with_texts(docs, members.filter(small), words), similar, words), "links")
     large = run.store(members.filter(~small).drop("rep"), "large")
     if not large.isEmpty():
-        sets = run.store(stored_sets(docs, classes.join(large.select("class").distinct(), "class"), words), "sets")
+        wanted = classes.select("class", "rep").join(large.select("class").distinct(), "class")
+        sets = run.store(stored_sets(docs, wanted, words), "sets")
         links = divided(large, sets, links, run, similar, fits, block)
     final = components(links, run, "final")
 

@@ -138,6 +138,32 @@ def test_join_of_awkward_rows(make_docs, run_of):
     assert jaccard.near_duplicates(make_docs([(1, None)]), run_of("join")).collect()[0]["component_id"] == 1
 
 
+def test_members_travel_as_texts_below_the_room_of_their_sets(spark, make_docs):
+    """What is shuffled twice for a member of a cell is less than half of its 64-bit shingles, and gives the same ones back."""
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choice("etaoinshrd") for _ in range(rng.randint(2, 8))) for _ in range(300)]
+    rows = [(k, " ".join(rng.choice(vocabulary) for _ in range(500))) for k in range(20)] + [(20, "a B"), (21, "é \U0001f600 x\ty z w"), (None, "b b b b b b b")]
+    name = jaccard.class_of
+    sets = {i: jaccard.Shingler().shingles(t) for i, t in rows}
+    members = spark.createDataFrame([(c, name(s), i) for i, s in sets.items() for c in (1, 2)], "cell long, class long, rep long")
+    got = jaccard.with_texts(make_docs(rows), members, 5).collect()
+    assert sorted((r["cell"], r["class"]) for r in got) == sorted((c, name(s)) for s in sets.values() for c in (1, 2))
+    read, by_class = jaccard.unpacked(5), {name(s): s for s in sets.values()}
+    assert all((read(r["packed"]) == by_class[r["class"]]).all() for r in got)
+    assert sum(len(r["packed"]) for r in got) < 8 * sum(2 * len(s) for s in sets.values()) / 2
+    stored = jaccard.stored_sets(make_docs(rows), members.select("class", "rep").distinct(), 5).collect()
+    assert {r["class"]: r["set"] for r in stored} == {c: s.tobytes() for c, s in by_class.items()} and len(stored) == len(rows)
+
+
+def test_a_region_row_is_a_short_name_and_a_class(make_docs):
+    """Nothing else goes through the largest shuffle; names take five bytes, and a set has as many as its prefix asks for."""
+    rows = [(1, " ".join(f"w{k}" for k in range(64))), (2, "a b c"), (3, None)]
+    got = jaccard.prefixes(make_docs(rows), (np.zeros(0, np.uint64), np.zeros(0, np.int64)), 5, jaccard.SIMILAR)
+    assert got.columns == ["shingle", "class"]
+    found = got.collect()
+    assert all(0 <= r["shingle"] < 1 << 40 for r in found) and len(found) == jaccard.prefix_size(60) + jaccard.prefix_size(1)
+
+
 def test_exact_bound_counts_as_link(make_docs, run_of):
     # 10 shingles and 8 of them with no other: 8 * 100 >= 75 * 10; with 7 of 10 there is no link
     words = [f"v{k}" for k in range(14)]
